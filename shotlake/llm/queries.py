@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding
+from . import decontaminate, pii, quality, secrets, sharding
+from .shared import hex_sha256
+from .spans import joined
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of every document stand inside a benchmark window."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.verdicts(decontaminate.hits(docs, table(spark, sf_dir, "benchmark")))
+
+
+def op5_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("row.doc_id", *counts, hex_sha256(joined(F.col("base"))).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes."""
     out = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 16)
@@ -29,13 +44,35 @@ def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    return found.select("row.doc_id", *counts, hex_sha256(joined(F.col("base"))).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 QUERIES = {
+    "op1_prefix_filter_decontamination": op1_prefix_filter_decontamination,
+    "op5_weak_supervision_pii": op5_weak_supervision_pii,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_rule_cascade": op7_rule_cascade,
+    "op8_markov_secrets": op8_markov_secrets,
 }
 
 #: DuckDB text of what SQL can express.
 ORACLES = {
+    "op1_prefix_filter_decontamination": r"""
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+bw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, len(g) AS n, g FROM (SELECT item_id, list_slice(w, i, i + 12) AS g FROM bw, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS u(i) WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+dg AS (SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS g FROM dw, sizes, unnest(range(1, len(w) - n + 2)) AS u(i) WHERE len(w) >= n),
+hit AS (SELECT doc_id, i, dg.n, item_id FROM dg JOIN win USING (g)),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
     "op7_rule_cascade": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
            list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
