@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii, quality, secrets, sharding
+from . import bpe, decontaminate, pii, quality, secrets, sharding, warc
 from .shared import hex_sha256
 from .spans import joined
 
@@ -20,6 +21,14 @@ def op1_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     return decontaminate.verdicts(decontaminate.hits(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op2_sentencepiece_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
+    back = bpe.decode(ids, path)
+    return back.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     found = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -51,16 +60,29 @@ def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *counts, hex_sha256(joined(F.col("base"))).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
+def op9_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC files and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_prefix_filter_decontamination": op1_prefix_filter_decontamination,
+    "op2_sentencepiece_byte_bpe": op2_sentencepiece_byte_bpe,
     "op5_weak_supervision_pii": op5_weak_supervision_pii,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_rule_cascade": op7_rule_cascade,
     "op8_markov_secrets": op8_markov_secrets,
+    "op9_sharded_warc": op9_sharded_warc,
 }
 
 #: DuckDB text of what SQL can express.
 ORACLES = {
+    "op9_sharded_warc": """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest AND payload_bytes >= 1000""",
     "op1_prefix_filter_decontamination": r"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 bw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),

@@ -100,6 +100,10 @@ def splitters(keys: DataFrame, n: int, tolerance: float = TOLERANCE, per_shard:
     return sorted((min(h, _HIGH - 1), min(i, _HIGH - 1)) for h, i in out)
 
 
+#: Splitters up to which the comparisons are written out as a tree; more are searched in a constant array.
+_TREE = 200
+
+
 def range_of(h: Column, id: Column, cuts: Sequence[tuple[int, int]]) -> Column:
     """Number of splitters at or below the key (h, id)."""
     id = F.coalesce(id, F.lit(_LOW))
@@ -112,7 +116,19 @@ def range_of(h: Column, id: Column, cuts: Sequence[tuple[int, int]]) -> Column:
         reached = (h > F.lit(ch)) | ((h == F.lit(ch)) & (id >= F.lit(ci)))
         return F.when(reached, tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
-    return tree(0, len(cuts))
+    if len(cuts) <= _TREE:
+        return tree(0, len(cuts))
+    numbers = lambda k: F.split(F.lit(" ".join(str(c[k]) for c in cuts)), " ").cast("array<bigint>")
+    hs, ids = numbers(0), numbers(1)
+
+    def step(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        open_, at, it = a["lo"] < a["hi"], F.get(hs, mid), F.get(ids, mid)
+        reached = (h > at) | ((h == at) & (id >= it))
+        return F.struct(F.when(open_ & reached, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(open_ & ~reached, mid).otherwise(a["hi"]).alias("hi"))
+
+    rounds = F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), step, lambda a: a["lo"])
 
 
 def shard_by_bytes(docs: DataFrame, shards: int, id: str = "doc_id", text: str = "text", ranges_per_shard: int = RANGES_PER_SHARD, tolerance: float = TOLERANCE) -> DataFrame:
