@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, quality, secrets, sharding, warc
+from . import bpe, decontaminate, pii, quality, secrets, sharding, suffixes, warc
 from .shared import hex_sha256
 from .spans import joined
 
@@ -29,6 +29,13 @@ def op2_sentencepiece_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the 50-byte strings of smaller documents."""
+    cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     found = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -68,6 +75,7 @@ def op9_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_prefix_filter_decontamination": op1_prefix_filter_decontamination,
     "op2_sentencepiece_byte_bpe": op2_sentencepiece_byte_bpe,
+    "op3_suffix_radix_dedup": op3_suffix_radix_dedup,
     "op5_weak_supervision_pii": op5_weak_supervision_pii,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_rule_cascade": op7_rule_cascade,
