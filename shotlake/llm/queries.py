@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, quality, secrets, sharding, suffixes, warc
+from . import bpe, decontaminate, jaccard, pii, quality, secrets, sharding, suffixes, warc
 from .shared import hex_sha256
 from .spans import joined
 
@@ -36,6 +36,11 @@ def op3_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op5_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     found = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -76,6 +81,7 @@ QUERIES = {
     "op1_prefix_filter_decontamination": op1_prefix_filter_decontamination,
     "op2_sentencepiece_byte_bpe": op2_sentencepiece_byte_bpe,
     "op3_suffix_radix_dedup": op3_suffix_radix_dedup,
+    "op4_lsh_forest_join": op4_lsh_forest_join,
     "op5_weak_supervision_pii": op5_weak_supervision_pii,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_rule_cascade": op7_rule_cascade,

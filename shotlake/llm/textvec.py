@@ -87,3 +87,64 @@ def sliding_min(key: np.ndarray, width: int) -> np.ndarray:
         k *= 2
     rest = width - k
     return np.minimum(key[: len(key) - rest], key[rest:]) if rest else key
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes hashed at a time; a piece ends at white space.
+WORD_PIECE = 1 << 20
+
+
+def word_hashes(x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (runs of bytes other than ASCII white space) of all texts, and the bounds of each text's."""
+    hashes, docs = [], []
+    at = 0
+    while at < len(x):
+        end = min(len(x), at + WORD_PIECE)
+        while end < len(x) and not _SPACE[x[end - 1]] and end not in _Bounds(bounds):
+            step = x[end : end + WORD_PIECE]
+            space = np.flatnonzero(_SPACE[step])
+            cut = np.searchsorted(bounds, end)
+            edge = int(bounds[cut]) if cut < len(bounds) else len(x)
+            end = min(edge, end + int(space[0]) + 1 if len(space) else end + len(step))
+        part = x[at:end]
+        lone = _SPACE[part]
+        start = ~lone
+        start[1:] &= lone[:-1]
+        inner = bounds[(bounds > at) & (bounds < end)] - at
+        start[inner] = ~lone[inner]
+        first = np.flatnonzero(start)
+        if len(first):
+            place = np.arange(len(part))
+            place[first[0] :] -= np.repeat(first, np.diff(np.append(first, len(part))))
+            value = mix(BYTE[part] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            value[lone] = 0
+            hashes.append(np.add.reduceat(value, first))
+            docs.append(np.searchsorted(bounds, first + at, side="right") - 1)
+        at = end
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+    doc = np.concatenate(docs)
+    return mix(np.concatenate(hashes)), np.searchsorted(doc, np.arange(len(bounds)))
+
+
+class _Bounds:
+    """Membership in sorted bounds."""
+
+    def __init__(self, bounds: np.ndarray):
+        self.bounds = bounds
+
+    def __contains__(self, at: int) -> bool:
+        k = np.searchsorted(self.bounds, at)
+        return k < len(self.bounds) and self.bounds[k] == at
+
+
+def word_grams(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k consecutive words (across texts too: the caller leaves those out)."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = words[:n].copy()
+    for j in range(1, k):
+        h = h * power(1) + words[j : j + n]
+    return mix(h + np.uint64(k))
