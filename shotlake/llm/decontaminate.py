@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hex_sha256, written
+from .shared import hex_sha256, text_or_empty, written
 
 #: Words of a window, and of a shingle.
 WINDOW, SHINGLE = 13, 3
@@ -54,7 +54,7 @@ def windows(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> Da
 
 def _tokens(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, th (hash of the text), words, and a row per shingle: pos, h. A document without any has one row, pos null."""
-    d = docs.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("words"))
+    d = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), words_of(F.col("text")).alias("words"))
     d = d.select("*", shingles(F.col("words"), k).alias("s"))
     return d.select("doc_id", "th", "words", F.posexplode_outer("s").alias("pos", "h"))
 
@@ -72,7 +72,7 @@ def prefix_tokens(docs: DataFrame, wins: DataFrame, k: int, small: bool) -> Data
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Per document: doc_id, n_words, hits: array of (item_id, start, len) of the windows that occur."""
+    """Per document: doc_id, tag (hash of the text), n_words, hits: array of (item_id, start, len) of the windows that occur."""
     docs = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     wins = written(windows(benchmark), "windows")
     n, least = wins.agg(F.count(F.lit(1)), F.min(F.size("words"))).first()
@@ -95,14 +95,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
         got = got.select("doc_id", "th", n_words.alias("n_words"), F.coalesce(pos == 0, F.lit(True)).cast("int").alias("first"), F.coalesce(F.when(F.col("wins").isNotNull(), found), none).alias("f"))
     else:
         pairs = rows.select("doc_id", "th", "pos", "h").join(tokens, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "wins")).alias("c"))
-        d = docs.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("words"))
+        d = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), words_of(F.col("text")).alias("words"))
         same = d["doc_id"].eqNullSafe(pairs["doc_id"]) & (d["th"] == pairs["th"])
         got = d.join(pairs, same).select(d["doc_id"], d["th"], "words", F.explode("c").alias("c"))
         got = got.select("doc_id", "th", "words", F.col("c.pos").alias("pos"), F.col("c.wins").alias("wins"))
         got = got.select("doc_id", "th", n_words.alias("n_words"), F.lit(0).alias("first"), F.coalesce(F.when(F.col("wins").isNotNull(), found), none).alias("f"))
         got = got.unionByName(d.select("doc_id", "th", F.size("words").alias("n_words"), F.lit(1).alias("first"), none.alias("f")))
     by_doc = got.groupBy("doc_id", "th").agg(F.max("n_words").cast("long").alias("n_words"), F.sum("first").cast("int").alias("copies"), F.flatten(F.collect_set("f")).alias("hits"))
-    return by_doc.select("doc_id", "n_words", F.array_distinct("hits").alias("hits"), F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
+    return by_doc.select("doc_id", F.col("th").alias("tag"), "n_words", F.array_distinct("hits").alias("hits"), F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
 
 
 def found_type(benchmark: DataFrame, id: str = "item_id") -> str:
@@ -122,8 +122,15 @@ def n_hit(hits: Column) -> Column:
 
 
 def verdicts(found: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated from hits()."""
+    """doc_id, tag, n_words, n_hit, n_items, items_sha256, contaminated from hits()."""
     items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"].cast("string"))))
-    out = found.select("doc_id", "n_words", n_hit(F.col("hits")).alias("n_hit"), items.alias("items"))
+    out = found.select("doc_id", "tag", "n_words", n_hit(F.col("hits")).alias("n_hit"), items.alias("items"))
     contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), hex_sha256(F.array_join("items", ",")).alias("items_sha256"), contaminated.alias("contaminated"))
+    return out.select("doc_id", "tag", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), hex_sha256(F.array_join("items", ",")).alias("items_sha256"), contaminated.alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the contaminated ones."""
+    bad = verdicts(hits(docs, benchmark, id, text)).where("contaminated").select(F.col("doc_id").alias("i"), F.col("tag").alias("t")).distinct()
+    held = docs.select(F.struct("*").alias("row"), F.col(id).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("tag"))
+    return held.join(bad, held["doc_id"].eqNullSafe(bad["i"]) & (held["tag"] == bad["t"]), "left_anti").select("row.*")

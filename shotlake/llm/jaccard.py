@@ -157,8 +157,8 @@ def _verify(threshold: Fraction):
 
 
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: Fraction = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """Per document: doc_id, class_id (least id of its component), copy_id (least id with an equal set), n_links (other
-    documents at or above the threshold, copies included)."""
+    """Per document: doc_id, tag (hash of the text), class_id (least id of its component), copy_id (least id with an equal
+    set), n_links (other documents at or above the threshold, copies included), is_first (the component's first row)."""
     t = text_or_empty(text)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(t).alias("tag"), t.alias("text"))
     d = depth(float(threshold), TREES, DEPTH, recall)
@@ -183,9 +183,26 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: Fra
     found = written(found, "links")
     links = found.groupBy("v").agg(F.sum("links").alias("links"))
     final = components(found.select(F.col("v").alias("a"), F.col("root").alias("b")), "linked")
-    named = classes.join(final, "v", "left").select("v", "copy_id", "copies", F.coalesce("root", "v").alias("root"))
-    least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    named = named.join(least, "root").join(links, "v", "left").select("v", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("doc_id", "v").join(named, "v", "left")
+    named = classes.join(final, "v", "left").select("v", "copy_id", "one", "copies", F.coalesce("root", "v").alias("root"))
+    least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.min("one").alias("first"))
+    named = named.join(least, "root").join(links, "v", "left")
+    named = named.select("v", "copy_id", "class_id", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = signed.select("doc_id", "tag", "v").join(named, "v", "left")
     own = F.col("v").isNull()
-    return out.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(
+        "doc_id",
+        "tag",
+        F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(own, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        (own | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag")))).alias("is_first"),
+    )
+
+
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without those that are near copies: of each component the row of the least (id, hash of the text) stays, once,
+    and every row without words."""
+    held = docs.select(F.struct("*").alias("row"), F.col(id).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("tag"), text_or_empty(text).rlike(r"[^\x20\x09-\x0D]").alias("said"))
+    first = join(docs, id, text).where("is_first").select(F.col("doc_id").alias("i"), F.col("tag").alias("t")).distinct()
+    kept = held.join(first, held["doc_id"].eqNullSafe(first["i"]) & (held["tag"] == first["t"]), "left_semi")
+    return kept.where("said").dropDuplicates(["doc_id", "tag"]).select("row.*").unionByName(kept.where("not said").select("row.*"))

@@ -153,15 +153,20 @@ def order(costs: dict[str, tuple[float, float]], rules: Sequence[Rule]) -> list[
     return sorted(rules, key=lambda r: -costs[r.name][1] / max(costs[r.name][0], 1e-9))
 
 
-def ordered(df: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules in the order that a bounded sample of df suggests."""
-    sample = df.limit(sample_rows).persist()
+def ordered(sample: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
+    """The rules in the order that a sample suggests."""
+    sample = sample.persist()
     try:
         return order(estimate(sample, rules), rules)
     finally:
         sample.unpersist()
 
 
+def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most so many rows of docs, read from as few partitions as hold them."""
+    return docs.sparkSession.createDataFrame(docs.take(rows), docs.schema)
+
+
 def cascade(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Adds ``rejected_by``: the first rule, in the given order, that rejects the row, else null."""
     had = [c for c in df.columns if c != "rejected_by"]
@@ -177,4 +182,4 @@ def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "tex
     """docs with ``rejected_by``, by the cascade over raw texts."""
     row = docs.drop("rejected_by").select(F.struct("*").alias("row"), text_or_empty(text).alias("text"))
     row = row.withColumn("words", space_words(F.col("text")))
-    return cascade(row, ordered(row, rules, sample_rows)).select("row.*", "rejected_by")
+    return cascade(row, ordered(sampled(row, sample_rows), rules)).select("row.*", "rejected_by")

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of every document stand inside a benchmark window."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.verdicts(decontaminate.hits(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.verdicts(decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))).drop("tag")
 
 
 def op2_sentencepiece_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op3_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document."""
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
 
 
 def op5_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of every document and the verdict of the cascade over them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rules = quality.ordered(quality.with_metrics(docs.limit(quality.SAMPLE_ROWS)), quality.METRIC_RULES)
+    rules = quality.ordered(quality.with_metrics(quality.sampled(docs)), quality.METRIC_RULES)
     judged = quality.cascade(quality.with_metrics(docs), rules)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return judged.select(
