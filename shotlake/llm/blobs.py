@@ -60,6 +60,8 @@ def from_deltas(u: np.ndarray) -> np.ndarray:
 
 def by_bucket(bucket: np.ndarray):
     """(bucket, indices of its members in order) of each bucket that occurs."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, pii, quality, secrets, sharding, suffixes, warc
+from . import bpe, decontaminate, jaccard, passages, pii, quality, secrets, sharding, suffixes, warc
 from .shared import hex_sha256
 from .spans import joined
 
@@ -77,6 +77,11 @@ def op9_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of fifty words or more that an earlier document has too, exactly or nearly."""
+    return passages.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_prefix_filter_decontamination": op1_prefix_filter_decontamination,
     "op2_sentencepiece_byte_bpe": op2_sentencepiece_byte_bpe,
@@ -87,6 +92,7 @@ QUERIES = {
     "op7_rule_cascade": op7_rule_cascade,
     "op8_markov_secrets": op8_markov_secrets,
     "op9_sharded_warc": op9_sharded_warc,
+    "op10_collinear_passages": op10_collinear_passages,
 }
 
 #: DuckDB text of what SQL can express.

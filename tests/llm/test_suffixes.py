@@ -48,6 +48,8 @@ def test_made_texts(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert digests(suffixes.remove_repeats(df)) == brute(rows)
     assert suffixes.remove_repeats(df.limit(0)).count() == 0
+    few = [(1, "short"), (2, None), (3, "short")]
+    assert digests(suffixes.remove_repeats(spark.createDataFrame(few, "doc_id long, text string"))) == brute(few)
 
 
 def test_long_texts_in_pieces(monkeypatch):
