@@ -174,8 +174,9 @@ def cascade(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     for rule in rules:
         alive = F.col("rejected_by").isNull()
         df, reject = rule.test(df, alive)
-        df = df.withColumn("rejected_by", F.when(~alive, F.col("rejected_by")).when(F.coalesce(reject, F.lit(False)), F.lit(rule.name)))
-    return df.select(*had, "rejected_by")
+        df = df.withColumn("rejected_by", F.coalesce("rejected_by", F.when(reject, F.lit(rule.name))))
+    # explode keeps a later filter on the verdict above this point: pushed below, it would copy the rules into each other
+    return df.select(*had, F.explode(F.array("rejected_by")).alias("rejected_by"))
 
 
 def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
