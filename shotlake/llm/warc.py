@@ -46,18 +46,21 @@ _FILES = "shard int, part int, temporary string, name string, records long, byte
 _RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
-def prepared(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, payload (of responses only), payload_bytes, digest, refers_to."""
+def fetched(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """page_id, url, payload, payload_bytes, digest."""
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
-    rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("digest"))
+    return rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("digest"))
+
+
+def referred(rows: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, digest, refers_to (null for responses) of fetched(), without payloads."""
+    rows = rows.select("page_id", "payload_bytes", "digest")
     large = rows.where(F.col("payload_bytes") >= REVISIT_BYTES)
     groups = large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
     rows = rows.join(groups, (F.col("digest") == F.col("d")) & (F.col("payload_bytes") >= REVISIT_BYTES), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.select(
-        "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "digest", F.when(revisit, F.col("first")).alias("refers_to")
-    )
+    return rows.select("page_id", "payload_bytes", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -125,20 +128,22 @@ def write_archives(pages: DataFrame, path: str, id: str = "page_id", url: str =
     from pyarrow import fs
 
     spark = pages.sparkSession
-    rows = prepared(pages, id, url, html)
+    rows = fetched(pages, id, url, html)
     lowest = F.lit(-(2**63))
-    keys = written(
-        rows.select(F.coalesce("page_id", lowest).alias("h"), F.xxhash64("url", "digest").alias("doc_id"), (F.coalesce(F.octet_length("payload"), F.lit(0)) + 500).cast("long").alias("size")),
-        "warc-keys",
-    )
+    told = written(referred(rows), "warc-keys")
+    size = F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(0) + 500
+    keys = told.select(F.coalesce("page_id", lowest).alias("h"), F.xxhash64("digest").alias("doc_id"), size.cast("long").alias("size"))
     total = keys.agg(F.sum("size")).first()[0] or 0
     n = max(1, -(-total // shard_bytes))
     cuts = splitters(keys, n, 0.05)
-    shard = range_of(F.coalesce("page_id", lowest), F.xxhash64("url", "digest"), cuts)
-    placed = rows.withColumn("shard", shard).repartitionById(n, "shard").sortWithinPartitions("shard", "page_id", "url", "digest")
+    # what a page refers to travels to its shard as a row of its own, before the page: payloads are exchanged once
+    verdicts = told.where("refers_to IS NOT NULL").distinct().select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "payload_bytes", "digest", "refers_to")
+    both = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(verdicts)
+    shard = range_of(F.coalesce("page_id", lowest), F.xxhash64("digest"), cuts)
+    placed = both.withColumn("shard", shard).repartitionById(n, "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").asc_nulls_last(), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        attempt, files, out, at = uuid.uuid4().hex, [], None, None
+        attempt, files, out, at, page, target = uuid.uuid4().hex, [], None, None, None, None
         there, folder = fs.FileSystem.from_uri(path)
         there.create_dir(f"{folder}/_tmp", recursive=True)
 
@@ -149,6 +154,11 @@ def write_archives(pages: DataFrame, path: str, id: str = "page_id", url: str =
 
         for batch in batches:
             for r in batch.to_pylist():
+                if r["refers_to"] is not None:
+                    page, target = (r["page_id"], r["digest"]), r["refers_to"]
+                    continue
+                if (r["page_id"], r["digest"]) == page:
+                    r |= {"refers_to": target, "payload": None}
                 if r["shard"] != at or files[-1]["bytes"] >= file_bytes:
                     close()
                     part = files[-1]["part"] + 1 if r["shard"] == at else 0
