@@ -64,6 +64,9 @@ def test_pii_method_adds(spark):
     got = {r["doc_id"]: r["f"] for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", joined(F.col("found")).alias("f")).collect()}
     assert all("number:17:29" in got[i] for i in range(40))
     assert all(got[100 + i] == "" for i in range(40))
+    touching = spark.createDataFrame([(1, "key 1eb9c654e721b4f812088970e66a or x812 088 9701 end")], "doc_id long, text string")
+    cands = pii.with_candidates(pii.with_base_spans(touching)).select("candidates").first()[0]
+    assert [c["value"] for c in cands] == []
     empty = pii.scan(spark.createDataFrame([], "doc_id long, text string"))
     assert empty.count() == 0
 
