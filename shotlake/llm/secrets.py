@@ -119,7 +119,8 @@ def with_all_spans(df: DataFrame, ratios: list[float]) -> DataFrame:
     model = table(ratios)
     df = with_base_spans(df).withColumn("base", F.concat("assign", "access", "hex"))
     df = with_spans(df, "markov", "markov", TOKEN)
-    df = df.withColumn("markov", F.filter("markov", lambda s: ~overlaps(s, F.col("base")) & is_secret(s["value"], model)))
+    # let: keeps Catalyst from moving the expression of base into the lambda
+    df = df.withColumn("markov", let(F.col("base"), lambda base: F.filter("markov", lambda s: ~overlaps(s, base) & is_secret(s["value"], model))))
     return df.withColumn("base", by_start(F.col("base"))).withColumn("found", by_start(F.concat("base", "markov")))
 
 
