@@ -26,7 +26,7 @@ HEX = r"[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Tokens that the models score.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 #: Least sum and least mean (per pair of characters) of the log-likelihood ratio.
 MIN_SUM, MIN_MEAN = 14.0, 0.6
 #: Bounds of the labelled samples: generated random strings, and documents whose words make identifiers.
