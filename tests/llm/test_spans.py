@@ -106,3 +106,20 @@ def test_secret_right_after_a_sign(spark, sf_dir):
     found = secrets.scan(docs.unionByName(added)).where("row.doc_id < 0")
     got = {-1 - r[0]: r[1] for r in found.select("row.doc_id", secrets.redacted(F.col("text"), F.col("found"))).collect()}
     assert got == {0: "client_key=<MARKOV>", 1: "auth=<MARKOV> end", 2: "AccountKey=<MARKOV>;x", 3: "https://a.example/b?sig=<MARKOV>&x=1", 4: texts[4]}
+
+
+def test_numbers_inside_runs(spark):
+    cases = [
+        ("call 555-123-4567 555-987-6543 now", ["555-123-4567", "555-987-6543"]),
+        ("(555) 123-4567 (555) 987-6543", ["(555) 123-4567", "(555) 987-6543"]),
+        ("ids 123-45-6789 987-65-4321", ["123-45-6789", "987-65-4321"]),
+        ("at 555-123-4567x12 or tel555-123-4568ext", ["555-123-4567", "555-123-4568"]),
+        ("in 2024 555-123-4567", ["555-123-4567"]),
+        ("no 1234567 89 555-123-4567 12345678", ["1234567 89", "555-123-4567", "12345678"]),
+        ("hex 0x812-088-9701 or ab555-123-4567 or 555-123-4567e6", []),
+        ("1234-555-123-45678 " * 3, []),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
+    for r in pii.with_candidates(pii.with_base_spans(df)).select("doc_id", "text", "candidates").collect():
+        assert [c["value"] for c in r["candidates"]] == cases[r["doc_id"]][1], r["text"]
+        assert all(r["text"][c["start"] : c["end"]] == c["value"] for c in r["candidates"])
