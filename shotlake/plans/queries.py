@@ -43,7 +43,7 @@ def requested(spark, sf_dir):
 
 def answers(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    return c.select(F.col("conv_id").alias("job_id"), (F.col("turn") * 1000).alias("timestamp_ms"), F.col("turn").alias("seq"), F.substring("text", 1, 300).alias("answer"), (1.0 / (F.col("turn") + 1)).alias("relevance"))
+    return c.select(F.col("conv_id").alias("job_id"), (F.col("turn") * 1000).alias("timestamp_ms"), F.col("turn").alias("seq"), F.col("text").alias("answer"), (1.0 / (F.col("turn") + 1)).alias("relevance"))
 
 
 def vector_shots(spark, sf_dir):
