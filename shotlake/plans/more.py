@@ -65,7 +65,7 @@ def k3_append_vectors(spark, sf_dir):
 
 @query("SELECT doc_id, coalesce(l.source, d.source) AS source FROM (SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0) AS d FULL JOIN (SELECT doc_id, 'patched' AS source FROM labels WHERE toxic = 1) AS l USING (doc_id)")
 def k10_field_merge(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", "source")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
     p = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.lit("patched").alias("source"))
     return jobs.upsert(d, p, "doc_id", ["source"], insert=True)
 

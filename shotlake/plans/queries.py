@@ -368,7 +368,7 @@ def g6_select(spark, sf_dir):
 @query
 def g7_frame_rows(spark, sf_dir):
     b = vector_shots(spark, sf_dir)
-    return selection.frame_rows(frames(spark, sf_dir).where("frame_index % 3 = 0"), b)
+    return selection.frame_rows(selection.select(frames(spark, sf_dir), b, 8, 30, 2000), b)
 
 
 # requests and jobs
@@ -487,7 +487,8 @@ def g13_comparison(spark, sf_dir):
 @query
 def g14_query_path(spark, sf_dir):
     """Jobs that are ready, fused hits of a query, their frames (clips by time), at most twelve a query."""
-    ready = frames(spark, sf_dir).where("job_id % 2 = 0")
+    complete = jobs.fold_states(requested(spark, sf_dir)).where("status = 'complete'").select("job_id")
+    ready = frames(spark, sf_dir).join(complete, "job_id", "left_semi")
     q = one(spark, sf_dir)
     clips = C.clip_vectors(ready).withColumn("id", F.col("job_id") * 1000 + F.col("clip_index"))
     hits = search.fused(search.top_k(ready, q, 8).withColumnRenamed("frame_index", "id"), search.top_k(clips, q, 4, "id"), 8)
