@@ -1,9 +1,11 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash LSH in bands of fixed depth, then exact verification.
 
 Each document has the set of its shingles (five words; a shorter text is one shingle). Documents with equal sets are one
-class, represented once. A class gets TREES signatures of up to DEPTH minima. In each tree the classes are sorted by
-their signature's prefix. The prefix starts at full depth and is shortened, a minimum at a time, until a pair at the
-threshold shares it in some tree with at least the target recall; classes with equal prefixes are candidates. A group of
+class, represented once. No LSH forest is built: in place of sorted prefixes that are shortened by level, each of TREES
+bands hashes the same number of minima into one key, and classes with an equal key are candidates. That number is the most,
+up to DEPTH, with which a pair at the threshold shares a key with at least the target recall; it follows from the
+constants alone. A forest asks for the best matches and so needs a depth per query; here all pairs above one threshold are
+wanted, and a match at a longer prefix is one at this depth too. A group of
 candidates is linked as a star, never as all its pairs. Connected candidates are then verified exactly: their sets meet
 in one task, or, if they are many, in one task per pair of blocks, where shared shingles are counted by matrix products;
 only counts of links and a spanning forest of each block pair leave the task.
