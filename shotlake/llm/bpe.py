@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -24,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import give_back
+
 #: Largest vocabulary file that is broadcast.
 MAX_VOCABULARY_BYTES = 64_000_000
 #: Pre-tokens a worker remembers, each of at most CACHED_CHARS characters.
-CACHE, CACHED_CHARS = 200_000, 64
+CACHE, CACHED_CHARS = 100_000, 64
 #: Characters beyond which a text's pre-tokens are taken in blocks of BLOCK.
 LONG_TEXT, BLOCK = 1_000_000, 100_000
+#: Rows that a worker answers at a time.
+ROWS = 256
 
 
 def byte_characters() -> list[str]:
@@ -83,20 +88,36 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
 
 
 class Codec(dict):
-    """Pre-token -> packed ids, filled as needed, and the inverse table."""
+    """Pre-token -> packed ids, filled as needed, and the inverse table; each side is built when it is first used."""
 
     def __init__(self, data: bytes, pattern: str):
+        super().__init__()
+        self.data, self.source = data, pattern
+
+    @cached_property
+    def pattern(self):
         import regex
-        import sentencepiece
 
-        super().__init__()
-        ranks = read_ranks(data)
+        return regex.compile(self.source)
+
+    @cached_property
+    def characters(self) -> dict[int, str]:
+        return dict(enumerate(byte_characters()))
+
+    @cached_property
+    def whole(self) -> dict[str, int]:
         chars = byte_characters()
-        self.pattern = regex.compile(pattern)
-        self.characters = {b: c for b, c in enumerate(chars)}
-        self.whole = {"".join(chars[b] for b in e): r for e, r in ranks.items()}
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
-        self.table = {r: e for e, r in ranks.items()}
+        return {"".join(chars[b] for b in e): r for e, r in read_ranks(self.data).items()}
+
+    @cached_property
+    def model(self):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_proto=serialise(read_ranks(self.data)))
+
+    @cached_property
+    def table(self) -> dict[int, bytes]:
+        return {r: e for e, r in read_ranks(self.data).items()}
 
     def __missing__(self, token: str) -> bytes:
         mapped = token.encode().decode("latin-1").translate(self.characters)
@@ -140,30 +161,42 @@ def _vocabulary(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(data)
 
 
-def _mapped(df: DataFrame, column: str, out: str, path: str, pattern: str, kind: str) -> DataFrame:
-    """df with the binary column ``out`` made from ``column`` by Codec.encode or .decode."""
-    df = df.drop(out) if out != column else df
-    kept = [c for c in df.columns if c != out]
-    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(out, T.BinaryType(), True)])
+def _mapped(df: DataFrame, column: str, outs: tuple[str, ...], path: str, pattern: str, make: Callable[[Codec, str | bytes | None], tuple[bytes, ...]]) -> DataFrame:
+    """df with the binary columns ``outs`` that make(codec, value of ``column``) returns."""
+    df = df.drop(*[c for c in outs if c != column])
+    kept = [c for c in df.columns if c not in outs]
+    schema = T.StructType([*[df.schema[c] for c in kept], *[T.StructField(c, T.BinaryType(), True) for c in outs]])
     data, at = _vocabulary(df, path), df.columns.index(column)
-    empty = "" if kind == "encode" else b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data.value, pattern)
-        make = getattr(codec, kind)
         for batch in batches:
-            made = pa.array([make(x.as_py() or empty) for x in batch.column(at)], pa.binary())
-            columns = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != out]
-            yield pa.RecordBatch.from_arrays([*columns, made], names=[*kept, out])
+            for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+                made = list(zip(*(make(codec, x.as_py()) for x in part.column(at)), strict=True))
+                columns = [part.column(i) for i, c in enumerate(part.schema.names) if c not in outs]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(m, pa.binary()) for m in made)], names=[*kept, *outs])
+                del made
+        codec.clear()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df with ``out``: the ids of ``text``, packed."""
-    return _mapped(df, text, out, path, pattern, "encode")
+    return _mapped(df, text, (out,), path, pattern, lambda codec, x: (codec.encode(x or ""),))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with ``out``: the bytes of the packed ``ids``."""
-    return _mapped(df, ids, out, path, "", "decode")
+    return _mapped(df, ids, (out,), path, "", lambda codec, x: (codec.decode(x or b""),))
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", back: str = "decoded") -> DataFrame:
+    """encode() and then decode() in one pass: a task needs one worker process and one vocabulary."""
+
+    def both(codec: Codec, x: str | None) -> tuple[bytes, bytes]:
+        ids = codec.encode(x or "")
+        return ids, codec.decode(ids)
+
+    return _mapped(df, text, (out, back), path, pattern, both)

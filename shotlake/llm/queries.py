@@ -24,8 +24,7 @@ def op1_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataF
 def op2_sentencepiece_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
-    back = bpe.decode(ids, path)
+    back = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
     return back.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -55,13 +54,12 @@ def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of every document and the verdict of the cascade over them."""
+    """Verdict of the cascade on every document, and its metrics: those that the cascade did not come to are filled in."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rules = quality.ordered(quality.with_metrics(quality.sampled(docs)), quality.METRIC_RULES)
-    judged = quality.cascade(quality.with_metrics(docs), rules)
+    judged = quality.filled(quality.cascade(quality.prepared(docs), quality.ordered(quality.sampled(docs))))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept")
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept")
     )
 
 
