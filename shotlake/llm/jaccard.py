@@ -1,14 +1,18 @@
-"""N-gram Jaccard join: MinHash LSH in bands of fixed depth, then exact verification.
+"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
 
 Each document has the set of its shingles (five words; a shorter text is one shingle). Documents with equal sets are one
-class, represented once. No LSH forest is built: in place of sorted prefixes that are shortened by level, each of TREES
-bands hashes the same number of minima into one key, and classes with an equal key are candidates. That number is the most,
-up to DEPTH, with which a pair at the threshold shares a key with at least the target recall; it follows from the
-constants alone. A forest asks for the best matches and so needs a depth per query; here all pairs above one threshold are
-wanted, and a match at a longer prefix is one at this depth too. A group of
-candidates is linked as a star, never as all its pairs. Connected candidates are then verified exactly: their sets meet
-in one task, or, if they are many, in one task per pair of blocks, where shared shingles are counted by matrix products;
-only counts of links and a spanning forest of each block pair leave the task.
+class, represented once. A class has a label in each of TREES trees: DEPTH minima, 16 bits each, one after another, so
+that labels in byte order are the tree's prefix trie. Matching starts from whole labels. While a pair at the threshold
+would not yet share a prefix with the target recall, the prefixes of one more tree are shortened by one minimum
+(``floors``); so trees stop at different depths, and a lower threshold or a higher recall goes further up the tries.
+
+Only trie nodes at a tree's floor that hold several classes matter. Below such a node the trie is climbed from the whole
+labels: at each depth the classes (or the representatives of deeper nodes) under one prefix are linked to the least of
+them, which alone goes on to the shorter prefix. So a group costs one link a member, never its pairs. Connected
+candidates are then verified exactly. A component of many classes is cut into blocks, by size of the set first: two sets
+can only be similar enough if their sizes are in the same or neighbouring strata, so only such blocks meet, and no pair
+that could link is left out. In a block pair shared shingles are counted by matrix products; only counts of links and a
+spanning forest leave the task.
 
 Defined results: a null text counts as empty; a text without words links to nothing and is its own class; repeated rows
 are copies of each other; the class id is the least id of a component, null only if all its ids are null; an empty table
@@ -17,29 +21,44 @@ gives an empty result; further columns are not carried.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import text_or_empty, written
+from .shared import give_back, text_or_empty, written
 from .textvec import flat, mix, word_grams, word_hashes
 
 #: Words of a shingle; least similarity; recall of a pair at that similarity.
 SHINGLE, THRESHOLD, RECALL = 5, Fraction(4, 5), 0.9999
-TREES, DEPTH = 24, 8
-#: Classes of a block; columns shared by more classes than this are multiplied as a dense matrix.
-BLOCK, DENSE = 1000, 32
+#: Trees, minima of a label, and bytes of one.
+TREES, DEPTH, WIDTH = 24, 8, 2
+#: Classes and shingles of a block; columns shared by more classes than this are multiplied as a dense matrix.
+BLOCK, BLOCK_SHINGLES, DENSE = 600, 1_500_000, 32
+#: Text bytes that a worker signs at a time, and shingles whose minima are taken together.
+SLICE_BYTES, RUN = 2_000_000, 100_000
+
+_SIGNED = "doc_id long, tag long, v binary, n int, labels binary"
+
 
-_SIGNED = "doc_id long, tag long, v binary, n int, keys array<long>"
+def floors(threshold: float, trees: int, deepest: int, recall: float) -> list[int]:
+    """Depth at which each tree stops: prefixes are shortened tree by tree until a pair at the threshold shares one with
+    the target recall."""
+    out, at = [deepest] * trees, 0
+    while math.prod(1 - threshold**d for d in out) > 1 - recall and out[at] > 1:
+        out[at] -= 1
+        at = (at + 1) % trees
+    return out
 
 
 def depth(threshold: float, trees: int, deepest: int, recall: float) -> int:
-    """The longest prefix that finds a pair at the threshold with the target recall."""
+    """The depth of the longest prefixes, all of one length, that find a pair at the threshold with the target recall."""
     d = deepest
     while d > 1 and 1 - (1 - threshold**d) ** trees < recall:
         d -= 1
@@ -56,32 +75,52 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def _signer(trees: int, d: int):
-    factors = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, (trees, d), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def minima(every: np.ndarray, first: np.ndarray, trees: int, deepest: int) -> np.ndarray:
+    """Labels of sets that stand one after another from the places ``first`` on: (sets, trees * deepest) 16-bit numbers."""
+    factors = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, trees * deepest, dtype=np.uint32) | np.uint32(1)
+    low = (every >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(first), len(factors)), np.uint32)
+    ends = np.append(first[1:], len(every))
+    at = 0
+    while at < len(first):  # runs of sets that fit the processor's cache
+        to = max(at + 1, int(np.searchsorted(ends, first[at] + RUN, side="right")))
+        part, where = low[first[at] : ends[to - 1]], first[at:to] - first[at]
+        for k, f in enumerate(factors):
+            out[at:to, k] = np.minimum.reduceat(part * f, where)
+        at = to
+    out = (out ^ (out >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return ((out ^ (out >> np.uint32(12))) * np.uint32(0x297A2D39) >> np.uint32(16)).astype(">u2")
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about SLICE_BYTES of text, the third column."""
+    for whole in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(whole.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < whole.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            yield whole.slice(at, to - at)
+            at = to
 
+
+def _signer(trees: int, deepest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """doc_id, tag, text -> the class (128-bit digest of the set), its size and its key in each tree."""
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                sets = shingle_sets(batch.column(2))
-                sizes = np.array([len(s) for s in sets])
-                full = np.flatnonzero(sizes)
-                values, keys = [None] * len(sets), [None] * len(sets)
-                if len(full):
-                    every = np.concatenate([sets[i] for i in full])
-                    first = np.cumsum(sizes[full]) - sizes[full]
-                    key = np.zeros((len(full), trees), np.uint64)
-                    for t in range(trees):
-                        h = np.full(len(full), np.uint64(t + 1))
-                        for a in factors[t]:
-                            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(every * a, first))
-                        key[:, t] = h
-                    one, two = np.add.reduceat(mix(every), first), np.add.reduceat(mix(every ^ np.uint64(0x5851F42D4C957F2D)), first)
-                    for k, i in enumerate(full):
-                        values[i] = one[k].tobytes() + two[k].tobytes()
-                        keys[i] = key[k].view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "tag", "v", "n", "keys"])
+        """doc_id, tag, text -> the class (128-bit digest of the set), its size and its labels, tree by tree."""
+        for batch in _slices(batches):
+            sets = shingle_sets(batch.column(2))
+            sizes = np.array([len(s) for s in sets])
+            full = np.flatnonzero(sizes)
+            values, labels = [None] * len(sets), [None] * len(sets)
+            if len(full):
+                every = np.concatenate([sets[i] for i in full])
+                first = np.cumsum(sizes[full]) - sizes[full]
+                label = minima(every, first, trees, deepest)
+                one, two = np.add.reduceat(mix(every), first), np.add.reduceat(mix(every ^ np.uint64(0x5851F42D4C957F2D)), first)
+                for k, i in enumerate(full):
+                    values[i] = one[k].tobytes() + two[k].tobytes()
+                    labels[i] = label[k].tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.binary()), pa.array(sizes, pa.int32()), pa.array(labels, pa.binary())], names=["doc_id", "tag", "v", "n", "labels"])
+        give_back()
 
     return run
 
@@ -137,7 +176,7 @@ def _verify(threshold: Fraction):
         """The classes of one pair of blocks -> per class: its root in here and the documents of the classes it links to."""
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         names = table["v"].to_pylist()
-        rows = sorted({v: k for k, v in enumerate(names)}.items())  # repeated rows of a document come once
+        rows = sorted({v: k for k, v in enumerate(names)}.items())  # repeated rows of a document count once
         pick = np.array([k for _, k in rows])
         names = [v for v, _ in rows]
         text = table["text"].combine_chunks()
@@ -158,29 +197,65 @@ def _verify(threshold: Fraction):
     return run
 
 
+def trie_links(classes: DataFrame, floor: list[int]) -> DataFrame:
+    """classes (v, labels) -> links (a, b) between classes under one prefix, in each tree from whole labels up to its
+    floor: a member to the least member, which stands for the node further up."""
+    stop = F.array(*[F.lit(d) for d in floor])
+    trees = F.sequence(F.lit(0), F.lit(len(floor) - 1))
+    label = lambda t: F.substring("labels", t * (DEPTH * WIDTH) + 1, F.lit(DEPTH * WIDTH))
+    filed = classes.select("v", F.explode(F.transform(trees, lambda t: F.struct(t.cast("byte").alias("t"), label(t).alias("label")))).alias("x")).select("v", "x.t", "x.label")
+    filed = filed.withColumn("node", F.xxhash64("t", F.substring("label", F.lit(1), F.get(stop, F.col("t").cast("int")) * WIDTH)))
+    several = filed.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("node")
+    level = written(filed.join(several, "node", "left_semi").select("t", "label", F.col("v").alias("a")), "trie")
+    links = []
+    for d in range(DEPTH, min(floor) - 1, -1):
+        here = level.where(F.get(stop, F.col("t").cast("int")) <= d).withColumn("p", F.substring("label", 1, d * WIDTH))
+        node = here.groupBy("t", "p").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("c"))
+        links.append(here.join(node.where("c > 1"), ["t", "p"]).where("a != b").select("a", "b"))
+        if d > min(floor):
+            level = node.select("t", F.col("p").alias("label"), F.col("b").alias("a"))
+    out = links[0]
+    for x in links[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
+def block_pairs(near: DataFrame, classes: DataFrame, threshold: Fraction, block: int) -> DataFrame:
+    """near (v, root: candidates) -> v, one, copies, root, block, i, j: the pairs of blocks in which a class is compared.
+
+    A component with few classes and shingles is one block. A larger one has strata by size of the set, in steps of
+    1 / threshold, and blocks within strata by a hash of the class; blocks of the same or neighbouring strata meet."""
+    member = near.unionByName(near.select(F.col("root").alias("v"), "root").distinct()).join(classes.select("v", "one", "copies", "n"), "v")
+    step = math.log(threshold.denominator / threshold.numerator) * 1.0001
+    member = member.withColumn("stratum", F.floor(F.log("n") / step).cast("int"))
+    blocks = F.ceil(F.greatest(F.sum("c") / block, F.sum("s") / BLOCK_SHINGLES)).cast("int")
+    each = member.groupBy("root", "stratum").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    strata = each.groupBy("root").agg(blocks.alias("whole"), F.array_sort(F.collect_list(F.struct("stratum", F.ceil(F.greatest(F.col("c") / block, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("k")))).alias("strata"))  # log of the largest set strata at most
+    member = member.join(strata, "root")
+    before = lambda upto: F.aggregate(F.filter("strata", lambda x: x["stratum"] < upto), F.lit(0), lambda a, x: a + x["k"])
+    own = F.filter("strata", lambda x: x["stratum"] == F.col("stratum"))[0]["k"]
+    one = F.col("whole") == 1
+    member = member.withColumn("block", F.when(one, 0).otherwise(before(F.col("stratum")) + F.pmod(F.xxhash64("v"), own.cast("long")).cast("int")))
+    first, end = F.when(one, 0).otherwise(before(F.col("stratum") - 1)), F.when(one, 1).otherwise(before(F.col("stratum") + 2))
+    met = F.transform(F.sequence(first, end - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    return member.select("v", "one", "copies", "root", "block", met.alias("met"))
+
+
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: Fraction = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, tag (hash of the text), class_id (least id of its component), copy_id (least id with an equal
     set), n_links (other documents at or above the threshold, copies included), is_first (the component's first row)."""
     t = text_or_empty(text)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(t).alias("tag"), t.alias("text"))
-    d = depth(float(threshold), TREES, DEPTH, recall)
-    signed = written(rows.mapInArrow(_signer(TREES, d), _SIGNED), "signatures")
+    signed = written(rows.mapInArrow(_signer(TREES, DEPTH), _SIGNED), "signatures")
     classes = signed.where(F.col("v").isNotNull()).groupBy("v").agg(
-        F.min("doc_id").alias("copy_id"), F.min(F.struct("doc_id", "tag")).alias("one"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")
+        F.min("doc_id").alias("copy_id"), F.min(F.struct("doc_id", "tag")).alias("one"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels")
     )
     classes = written(classes, "classes")
-    filed = classes.select("v", F.explode("keys").alias("key"))
-    shared = filed.groupBy("key").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "m")
-    stars = filed.join(shared, "key").where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-    near = components(stars, "candidates")
-    member = near.unionByName(near.select(F.col("root").alias("v"), "root").distinct())
-    sizes = member.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    member = member.join(sizes, "root").join(classes.select("v", "one", "copies"), "v")
-    member = member.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks").cast("long")).cast("int"))
+    near = components(trie_links(classes, floors(float(threshold), TREES, DEPTH, recall)), "candidates")
+    member = written(block_pairs(near, classes, threshold, block), "blocks")
     same = rows["doc_id"].eqNullSafe(F.col("one.doc_id")) & (rows["tag"] == F.col("one.tag"))
-    asked = rows.join(member, same).select("root", "v", "copies", "block", "blocks", "text").dropDuplicates(["v"])
-    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    pairs = asked.select("root", "v", "copies", "block", "text", F.explode(other).alias("p")).select("root", "v", "copies", "block", "text", "p.i", "p.j")
+    asked = rows.join(member, same).select("root", "v", "copies", "block", "met", "text").dropDuplicates(["v"])
+    pairs = asked.select("root", "v", "copies", "block", "text", F.explode("met").alias("p")).select("root", "v", "copies", "block", "text", "p.i", "p.j")
     found = pairs.groupBy("root", "i", "j").applyInArrow(_verify(threshold), "v binary, root binary, links long")
     found = written(found, "links")
     links = found.groupBy("v").agg(F.sum("links").alias("links"))

@@ -14,7 +14,12 @@ import pyarrow as pa
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 BASE = int(_RNG.integers(1 << 62, 1 << 63)) * 2 + 1
 BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
-_MASK = (1 << 64) - 1
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Value of each byte within a word (white space has none), and odd factors by the place in it.
+_IN_WORD = np.where(_SPACE, np.uint64(0), BYTE)
+_PLACES = 4096
+_PLACE = _RNG.integers(0, 1 << 63, _PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def power(n: int) -> np.uint64:
@@ -89,10 +94,8 @@ def sliding_min(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(key[: len(key) - rest], key[rest:]) if rest else key
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes hashed at a time; a piece ends at white space.
-WORD_PIECE = 1 << 20
+WORD_PIECE = 1 << 18
 
 
 def word_hashes(x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,14 +114,17 @@ def word_hashes(x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
         lone = _SPACE[part]
         start = ~lone
         start[1:] &= lone[:-1]
-        inner = bounds[(bounds > at) & (bounds < end)] - at
+        inner = bounds[np.searchsorted(bounds, at, side="right") : np.searchsorted(bounds, end)] - at
         start[inner] = ~lone[inner]
         first = np.flatnonzero(start)
         if len(first):
             place = np.arange(len(part))
             place[first[0] :] -= np.repeat(first, np.diff(np.append(first, len(part))))
-            value = mix(BYTE[part] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            value[lone] = 0
+            value = _IN_WORD.take(part)
+            if (far := np.flatnonzero(place >= _PLACES)).size:
+                far = far[~lone[far]]
+                value[far] = mix(value[far] + (place[far] // _PLACES).astype(np.uint64))
+            value *= _PLACE.take(place & (_PLACES - 1))
             hashes.append(np.add.reduceat(value, first))
             docs.append(np.searchsorted(bounds, first + at, side="right") - 1)
         at = end
