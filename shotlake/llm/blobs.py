@@ -12,11 +12,16 @@ _LEVEL = 3
 
 def planes(a: np.ndarray, width: int) -> np.ndarray:
     """The low width bytes of unsigned numbers, byte by byte, all lowest first."""
+    if a.dtype == np.uint8 and width == 1:
+        return a
     a = np.ascontiguousarray(a.astype("<u8"))
     return np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).reshape(-1)
 
 
 def from_planes(data: np.ndarray, width: int) -> np.ndarray:
+    """planes() back as 64-bit numbers; of width 1 as bytes."""
+    if width == 1:
+        return data
     n = len(data) // width if width else 0
     out = np.zeros((n, 8), np.uint8)
     out[:, :width] = data.reshape(width, n).T

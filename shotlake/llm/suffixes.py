@@ -1,19 +1,24 @@
-"""Removal of repeated byte strings by a depth-limited radix sort of sampled suffixes.
-
-The question is asked of every 50-byte string: does it also start in a document of a smaller id? A full suffix array
-would shuffle every position. Here suffixes are sampled so that equal strings keep equal samples: the least hash among a
-string's KEY-byte substrings marks its anchor, so two equal strings have their anchors at the same place, and
-neighbouring strings mostly share one. The sampled suffixes are then sorted by most-significant-digit passes, and only
-groups that are still undecided go on to the next pass:
-
-1. digit: the KEY bytes at the anchor. An anchor whose digit no other document has is done: nothing repeats there.
-2. digit: all the bytes of the strings that share the anchor (its span). Spans equal to one of a smaller document are
-   removed whole. A digit with one span left is done.
-3. digit: the single 50-byte strings of what is left, at depth 50, where equal groups are exactly the repeated strings.
-
-Digits are compared by fingerprints (at least 80 bits together), not by sorting raw bytes. Before the first exchange each
-task settles equal spans among its own documents, so a passage that a third of all documents share sends one row a task.
-Anchors move as packed columns, a blob per task and bucket; texts move compressed, once, by document.
+"""Removal of repeated byte strings by a depth-limited radix sort of suffixes.
+
+The question is asked of every 50-byte string: does it also start in a document of a smaller id? Only suffixes that can
+have an answer are sorted. A pre-filter finds them: the least hash among a string's KEY-byte substrings marks its anchor, so
+two equal strings have their anchors at the same place and neighbouring strings mostly share one; the strings of an anchor
+make a span.
+
+1. By anchor: a bucket holds the fingerprints of the anchors' KEY bytes. Strings whose anchor no other document has are
+   done. A span all of whose bytes (fingerprints of 64 bits, under an anchor of at least 48 more) are those of a span in a
+   smaller document is removed whole, so copies are not sorted.
+2. The bytes of the spans that are left go to buckets by anchor, and their suffixes are put in order by most-significant-
+   digit passes (``equal_strings``): each pass sorts by the next DIGIT bytes within the groups so far, and only groups that
+   still hold several documents go on to the next, down to the depth of 50 bytes. Equal groups are then exactly the
+   repeated strings; bytes decide, not hashes.
+
+Before the first exchange each task settles equal spans among its own documents, so a passage that a third of all documents
+share sends one row a task. An anchor with more than HOT different spans in one task (a rule of dashes, a word between
+ever new neighbours) is hot: the task sends such spans on undecided, and a mark, on which the others' spans under this
+anchor are undecided too. Strings under hot anchors are dealt by all of their bytes instead of the anchor, each once a
+bucket of documents, so that no task has to hold what a hot anchor gathers. Anchors move as packed columns, a blob per task
+and bucket; texts move compressed, once, by document.
 
 Defined results: a null text counts as empty; a null id is smaller than any other; documents with the same id are not
 smaller than each other; repeated rows each give a row; an empty table gives an empty result; further columns are not
@@ -33,18 +38,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import by_bucket, deltas, from_deltas, pack, ranges, signed, unpack
-from .shared import text_or_empty, written
+from .shared import give_back, text_or_empty, written
 from .textvec import flat, grams, mix, pieces, sliding_min
 
-#: Bytes of the strings, and of the first digit.
-WINDOW, KEY = 50, 20
+#: Bytes of the strings, of an anchor, and of a digit of the sort.
+WINDOW, KEY, DIGIT = 50, 20, 8
+#: Different spans of one anchor in a task beyond which the anchor is hot.
+HOT = 256
 #: Text bytes that a task gathers before it sends, and of a bucket of documents; bytes hashed at a time.
 FLUSH, BUCKET_BYTES, PIECE = 24_000_000, 8_000_000, 2_000_000
 #: Stands for a null id.
 NULL_ID = -(2**63)
 
 _ROWS = "bucket int, kind int, blob binary"
-_ANCHORS, _FATES = 0, 1
+_ANCHORS, _FATES, _HOT, _SPELLED, _STRINGS = range(5)
 _OUT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
 
@@ -62,8 +69,8 @@ class Docs:
 
 
 def anchors(x: np.ndarray, own: list[tuple[int, int, int, int]], base: int) -> tuple[np.ndarray, ...]:
-    """Of a piece of texts: for each anchor its text, the first of its strings (offset in the text), how many, the first
-    digit and the second."""
+    """Of a piece of texts: for each anchor its text, the first of its strings (offset in the text), how many, and the
+    fingerprints of the anchor and of its span."""
     none = np.zeros(0, np.int64)
     if len(x) < WINDOW:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
@@ -113,16 +120,17 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _fates(docs: Docs, doc: np.ndarray, start: np.ndarray, length: np.ndarray, how: np.ndarray, what: np.ndarray, n: int, kind: int) -> Iterator[tuple]:
-    """Rows for the buckets of documents. how: 0 removed, 1 like the strings from what on, 2 undecided under digit what."""
+    """Rows for the buckets of documents. how: 0 removed, 1 like the strings from what on, 2 undecided under the anchor
+    what, 3 undecided under a hot anchor."""
     of = docs.bucket(n)
     for b, i in by_bucket(of[doc]):
         own, local = np.unique(doc[i], return_inverse=True)
         yield b, kind, pack(*docs.parts(own), (deltas(local), 4), (deltas(start[i]), 5), (length[i], 4), (how[i], 1), (what[i], 8))
 
 
-def _sample(n: int, digit: int):
+def _sample(n: int, digit: int, most: int = HOT):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """doc_id, tag, text -> anchors by bucket of the first digit; settled spans by any bucket, to be passed on."""
+        """doc_id, tag, text -> anchors by bucket of the anchor; settled spans by any bucket, to be passed on."""
         for table in _gathered(batches):
             text = table.column("text").combine_chunks()
             docs = Docs(_ids(table.column("doc_id").combine_chunks()), table.column("tag").to_numpy().view(np.uint64))
@@ -140,40 +148,45 @@ def _sample(n: int, digit: int):
             run_ = np.flatnonzero(~again)
             leader = start[run_][np.cumsum(~again) - 1]
             later = ids > least
-            sent = ~later & ~again
-            fate = later | again
-            rows = []
+            apart = np.append(True, key[1:] != key[:-1])[: len(key)]
+            which = np.cumsum(apart) - 1
+            hot = (np.bincount(which, weights=new & ~later) > most)[which] if len(key) else new
+            fate, rows = later | again | hot, []
             bucket = (key % np.uint64(n)).astype(np.int64)
-            for b, i in by_bucket(bucket[sent]):
-                i = np.flatnonzero(sent)[i]
+            for b, i in by_bucket(bucket[~fate]):
+                i = np.flatnonzero(~fate)[i]
                 i = i[np.lexsort((start[i], doc[i]))]
                 own, local = np.unique(doc[i], return_inverse=True)
-                rows.append((b, _ANCHORS, pack(*docs.parts(own), (deltas(local), 4), (deltas(start[i]), 5), (length[i], 4), (key[i] // np.uint64(n), digit), (span[i], 5))))
+                rows.append((b, _ANCHORS, pack(*docs.parts(own), (deltas(local), 4), (deltas(start[i]), 5), (length[i], 4), (key[i] // np.uint64(n), digit), (span[i], 8))))
+            if hot.any():
+                some = np.flatnonzero(hot & apart)
+                rows += [(b, _HOT, pack((key[some[i]] // np.uint64(n), digit))) for b, i in by_bucket(bucket[some])]
             # settled here: a smaller document of this task has the span, or the same one has it before
             if fate.any():
-                how = np.where(later[fate], 0, 1)
-                rows += _fates(docs, doc[fate], start[fate], length[fate], how, np.where(later[fate], 0, leader[fate]), n, _FATES)
+                how = np.where(later[fate], 0, np.where(again[fate], 1, 3))
+                rows += _fates(docs, doc[fate], start[fate], length[fate], how, np.where(how == 1, leader[fate], 0), n, _FATES)
             for at in range(0, len(rows), 16):
                 yield _batches(rows[at : at + 16])
+        give_back()
 
     return run
 
 
 def _settle(n: int):
     def run(table: pa.Table) -> pa.Table:
-        """The second digit: a bucket of anchors -> fates by bucket of documents; others pass."""
-        rows, parts, ids, tags, base = [], [], [], [], 0
-        for kind, blob in zip(table["kind"].to_pylist(), table["blob"], strict=True):
-            if kind == _FATES:
-                continue
-            i, t, local, start, length, key, span = unpack(blob.as_py())
-            ids.append(signed(i))
-            tags.append(t)
-            parts.append((from_deltas(local) + base, from_deltas(start), length.astype(np.int64), key, span))
-            base += len(i)
+        """A bucket of anchors -> fates by bucket of documents; others pass."""
+        rows, parts, ids, tags, hot, base = [], [], [], [], [], 0
         for b, kind, blob in zip(table["bucket"].to_pylist(), table["kind"].to_pylist(), table["blob"], strict=True):
             if kind == _FATES:
                 rows.append((b, kind, blob.as_py()))
+            elif kind == _HOT:
+                hot.append(unpack(blob.as_py())[0])
+            else:
+                i, t, local, start, length, key, span = unpack(blob.as_py())
+                ids.append(signed(i))
+                tags.append(t)
+                parts.append((from_deltas(local) + base, from_deltas(start), length.astype(np.int64), key, span))
+                base += len(i)
         if parts:
             docs = Docs(np.concatenate(ids), np.concatenate(tags))
             doc, start, length, key, span = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -186,10 +199,10 @@ def _settle(n: int):
             which = np.cumsum(new_key) - 1
             at = np.flatnonzero(new_key)
             several = (np.add.reduceat(new_span.astype(np.int64), at) > 1) & (np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at))
-            asked = several[which] & ~removed
-            keep = removed | asked
-            how = np.where(removed[keep], 0, 2)
-            rows += _fates(docs, doc[keep], start[keep], length[keep], how, np.where(removed[keep], np.uint64(0), key[keep]), n, _FATES)
+            marked = np.isin(key[at], np.concatenate(hot)) if hot else np.zeros(len(at), bool)
+            keep = removed | (several | marked)[which]
+            how = np.where(removed, 0, np.where(marked[which], 3, 2))[keep]
+            rows += _fates(docs, doc[keep], start[keep], length[keep], how, np.where(how == 2, key[keep], np.uint64(0)), n, _FATES)
         return pa.Table.from_batches([_batches(rows)])
 
     return run
@@ -246,75 +259,134 @@ def _read_fates(table: pa.Table) -> dict[tuple[int, int], list[tuple[np.ndarray,
     return out
 
 
-def _strings(n: int):
+def equal_strings(x: np.ndarray, at: np.ndarray, group: np.ndarray, ids: np.ndarray, depth: int = WINDOW) -> np.ndarray:
+    """Which of the strings of depth bytes that begin at the places ``at`` of x also belong to a smaller id, among those of
+    one group (a number each). Most-significant-digit passes: the strings are ordered by group and their next DIGIT bytes;
+    equal ones make the groups of the next pass, and groups with one id are done."""
+    out = np.zeros(len(at), bool)
+    padded = np.concatenate((x, np.zeros(DIGIT, np.uint8)))
+    digits = np.ndarray((len(x) + 1,), ">u8", buffer=padded, strides=(1,))
+    left = np.arange(len(at))
+    group = np.unique(group, return_inverse=True)[1]
+    for d in range(0, depth, DIGIT):
+        digit = digits[at[left] + d].astype(np.uint64) >> np.uint64(8 * max(0, d + DIGIT - depth))
+        order = np.lexsort((digit, group))
+        left, group, digit = left[order], group[order], digit[order]
+        new = np.append(True, (group[1:] != group[:-1]) | (digit[1:] != digit[:-1]))[: len(left)]
+        if not len(left):
+            return out
+        first = np.flatnonzero(new)
+        least, most = np.minimum.reduceat(ids[left], first), np.maximum.reduceat(ids[left], first)
+        group = np.cumsum(new) - 1
+        on = (least < most)[group]
+        left, group, least = left[on], group[on], least[group[on]]
+    out[left] = ids[left] > least
+    return out
+
+
+def _spelled(n: int):
     def run(texts: pa.Table, fates: pa.Table) -> pa.Table:
-        """The third digit: hashes of the undecided strings, by bucket of the first digit."""
+        """The bytes of undecided spans by bucket of the anchor, and strings under hot anchors by bucket of all their bytes."""
         own, told = Texts([x.as_py() for x in texts["blob"]]), _read_fates(fates)
-        got = []
+        docs = Docs(np.array([i for i, _ in own.ids], np.int64), np.array([t for _, t in own.ids], np.uint64))
+        base = np.concatenate(([0], np.cumsum([len(t) for t in own.text]))).astype(np.int64)
+        x = np.concatenate(own.text) if own.text else np.zeros(0, np.uint8)
+        got: dict[int, list] = {2: [], 3: []}
         for k, key in enumerate(own.ids):
             if own.of[key][0] != k or key not in told:
                 continue
             start, length, how, what = (np.concatenate(c) for c in zip(*told[key], strict=True))
-            ask = how == 2
-            if not ask.any():
-                continue
-            start, length, what = start[ask], length[ask], what[ask]
-            order = np.argsort(start)
-            start, length, what = start[order], length[order], what[order]
-            x = own.text[k]
-            hashes = np.empty(int(length.sum()), np.uint64)
-            place = np.cumsum(length) - length
-            for a in range(0, len(x), PIECE):
-                i, j = np.searchsorted(start, (a, a + PIECE))
-                if i < j:
-                    stop = int((start[i:j] + length[i:j]).max()) + WINDOW - 1
-                    h = grams(x[a:stop], (WINDOW,))[0]
-                    hashes[place[i] : place[j - 1] + length[j - 1]] = h[ranges(start[i:j] - a, length[i:j])]
-            got.append((np.full(len(start), k), start, length, what, mix(hashes)))
+            for h in (2, 3):
+                if (ask := how == h).any():
+                    got[h].append((np.full(int(ask.sum()), k), start[ask], length[ask], what[ask]))
         rows = []
-        if got:
-            doc, start, length, what, hashes = (np.concatenate(c) for c in zip(*got, strict=True))
-            docs = Docs(np.array([i for i, _ in own.ids], np.int64), np.array([t for _, t in own.ids], np.uint64))
-            place = np.cumsum(length) - length
-            # the first digit lost its remainder by the number of buckets; any spreading by it keeps equal digits together
+        if got[2]:
+            doc, start, length, what = (np.concatenate(c) for c in zip(*got[2], strict=True))
+            # the anchor lost its remainder by the number of buckets; any spreading by it keeps equal ones together
             for b, i in by_bucket((mix(what) % np.uint64(n)).astype(np.int64)):
+                i = i[np.lexsort((start[i], doc[i]))]
                 o, local = np.unique(doc[i], return_inverse=True)
-                rows.append((b, 0, pack(*docs.parts(o), (deltas(local), 4), (deltas(start[i]), 5), (length[i], 4), (what[i], 8), (hashes[ranges(place[i], length[i])], 6))))
+                spelled = x[ranges(base[doc[i]] + start[i], length[i] + WINDOW - 1)]
+                rows.append((b, _SPELLED, pack(*docs.parts(o), (deltas(local), 4), (deltas(start[i]), 5), (length[i], 4), (what[i], 8), (spelled, 1))))
+        if got[3]:
+            doc, start, length, _ = (np.concatenate(c) for c in zip(*got[3], strict=True))
+            doc, start = np.repeat(doc, length), ranges(start, length)
+            rows += _hot_strings(docs, x, base, doc, start, n)
         return pa.Table.from_batches([_batches(rows)])
 
     return run
 
 
-def _equal(n: int):
+def _hot_strings(docs: Docs, x: np.ndarray, base: np.ndarray, doc: np.ndarray, start: np.ndarray, n: int) -> Iterator[tuple]:
+    """Strings under hot anchors, dealt by a hash of their bytes: of a document's equal ones the first, the others like it;
+    of equal ones of several documents those of the least id, the others removed."""
+    hashes = np.zeros(len(doc), np.uint64)
+    at = base[doc] + start
+    order = np.argsort(at)
+    for a in range(0, len(at), PIECE // WINDOW):
+        i = order[a : a + PIECE // WINDOW]
+        some = x[ranges(at[i], np.full(len(i), WINDOW))]
+        hashes[i] = mix(grams(some, (WINDOW,))[0][::WINDOW])
+    gone = equal_strings(x, at, hashes, docs.ids[doc])
+    order = np.lexsort((start, doc, hashes))
+    same = np.zeros(len(doc), bool)
+    if len(order) > 1:
+        i, j = order[:-1], order[1:]
+        same[j] = (hashes[i] == hashes[j]) & (doc[i] == doc[j])
+        if (k := np.flatnonzero(same)).size:  # by their bytes too
+            place = np.empty(len(doc), np.int64)
+            place[order] = np.arange(len(order))
+            before = order[place[k] - 1]
+            w = np.arange(WINDOW)
+            for a in range(0, len(k), PIECE // WINDOW):
+                s = slice(a, a + PIECE // WINDOW)
+                same[k[s]] = (x[at[k[s], None] + w] == x[at[before[s], None] + w]).all(axis=1)
+    ordered = order[~same[order]]
+    leader = np.empty(len(doc), np.int64)
+    leader[order] = start[ordered][np.cumsum(~same[order]) - 1]
+    done = gone | same
+    if done.any():
+        d = np.flatnonzero(done)
+        how = np.where(gone[d], 0, 1)
+        yield from _fates(docs, doc[d], start[d], np.ones(len(d), np.int64), how, np.where(how == 1, leader[d], 0), n, _FATES)
+    sent = np.flatnonzero(~done)
+    for b, i in by_bucket((hashes[sent] % np.uint64(n)).astype(np.int64)):
+        i = sent[i]
+        i = i[np.lexsort((start[i], doc[i]))]
+        o, local = np.unique(doc[i], return_inverse=True)
+        yield b, _STRINGS, pack(*docs.parts(o), (deltas(local), 4), (deltas(start[i]), 5), (hashes[i], 8), (x[ranges(at[i], np.full(len(i), WINDOW))], 1))
+
+
+def _sorted(n: int):
     def run(table: pa.Table) -> pa.Table:
-        """Groups of equal strings -> those that a smaller document has, as fates of length 1 by bucket of documents."""
-        ids, tags, docs_, starts, keys, hashes, base = [], [], [], [], [], [], 0
-        for blob in table["blob"]:
-            i, t, local, start, length, what, h = unpack(blob.as_py())
-            length = length.astype(np.int64)
+        """Suffixes of a bucket -> those whose string a smaller document has, as fates by bucket of documents; others pass."""
+        rows, ids, tags, text, parts, base, at = [], [], [], [], [], 0, 0
+        for b, kind, blob in zip(table["bucket"].to_pylist(), table["kind"].to_pylist(), table["blob"], strict=True):
+            if kind == _FATES:
+                rows.append((b, kind, blob.as_py()))
+                continue
+            i, t, local, start, *rest = unpack(blob.as_py())
+            length = rest[0].astype(np.int64) if kind == _SPELLED else np.ones(len(start), np.int64)
+            what, spelled = rest[-2], rest[-1].astype(np.uint8)
             ids.append(signed(i))
             tags.append(t)
-            docs_.append(np.repeat(from_deltas(local) + base, length))
-            starts.append(ranges(from_deltas(start), length))
-            keys.append(np.repeat(what, length))
-            hashes.append(h)
-            base += len(i)
-        docs = Docs(np.concatenate(ids), np.concatenate(tags))
-        doc, start, key, h = (np.concatenate(c) for c in (docs_, starts, keys, hashes))
-        own = docs.ids[doc]
-        order = np.lexsort((own, h, key))
-        doc, start, key, h, own = (c[order] for c in (doc, start, key, h, own))
-        new = np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]))
-        removed = own > own[new][np.cumsum(new) - 1]
-        doc, start = doc[removed], start[removed]
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
-        # neighbouring strings of a document go as one fate
-        first = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)) if len(doc) else np.zeros(0, bool)
-        at = np.flatnonzero(first)
-        length = np.diff(np.append(at, len(doc)))
-        zero = np.zeros(len(at), np.uint64)
-        rows = list(_fates(docs, doc[at], start[at], length, zero, zero, n, _FATES)) if len(at) else []
+            text.append(spelled)
+            size = length + WINDOW - 1
+            # hot strings never meet spans: their groups have numbers of their own
+            parts.append((np.repeat(from_deltas(local) + base, length), ranges(from_deltas(start), length), np.repeat(mix(what ^ np.uint64(kind)), length), ranges(np.cumsum(size) - size + at, length)))
+            base, at = base + len(i), at + len(spelled)
+        if parts:
+            docs = Docs(np.concatenate(ids), np.concatenate(tags))
+            doc, start, group, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+            removed = equal_strings(np.concatenate(text), place, group, docs.ids[doc])
+            doc, start = doc[removed], start[removed]
+            order = np.lexsort((start, doc))
+            doc, start = doc[order], start[order]
+            # neighbouring strings of a document go as one fate
+            at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1))[: len(doc)])
+            zero = np.zeros(len(at), np.uint64)
+            if len(at):
+                rows += _fates(docs, doc[at], start[at], np.diff(np.append(at, len(doc))), zero, zero, n, _FATES)
         return pa.Table.from_batches([_batches(rows)])
 
     return run
@@ -327,8 +399,9 @@ def covered(size: int, fates: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     start, length, how, what = (np.concatenate(c) for c in zip(*fates, strict=True))
     w = np.zeros(size - WINDOW + 1, bool)
     w[ranges(start[how == 0], length[how == 0])] = True
-    like = how == 1
-    w[ranges(start[like], length[like])] = w[ranges(what[like].astype(np.int64), length[like])]
+    for one in (True, True, False):  # a single string may be like one that is like another; longer spans are like either
+        like = (how == 1) & ((length == 1) == one)
+        w[ranges(start[like], length[like])] |= w[ranges(what[like].astype(np.int64), length[like])]
     edge = np.zeros(size + 1, np.int32)
     hit = np.flatnonzero(w)
     edge[hit] += 1
@@ -350,7 +423,7 @@ def _cut(texts: pa.Table, fates: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, spans (removed runs of bytes), kept (the bytes that stay)."""
     t = text_or_empty(text)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(t).alias("tag"), t.cast("binary").alias("text"))
@@ -358,9 +431,9 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", buck
     n = max(8, total // bucket_bytes + 1)
     digit = min(8, math.ceil((math.log2(total + 2) + 12 - math.log2(n)) / 8))
     by = lambda df: df.repartition(n, "bucket").groupBy("bucket")
-    first = rows.mapInArrow(_sample(n, digit), _ROWS)
+    first = rows.mapInArrow(_sample(n, digit, hot), _ROWS)
     fates = written(by(first).applyInArrow(_settle(n), _ROWS), "fates")
     texts = rows.mapInArrow(_packed_texts(n), _ROWS)
-    strings = by(texts).cogroup(by(fates)).applyInArrow(_strings(n), _ROWS)
-    more = by(strings).applyInArrow(_equal(n), _ROWS)
+    spelled = by(texts).cogroup(by(fates)).applyInArrow(_spelled(n), _ROWS)
+    more = by(spelled).applyInArrow(_sorted(n), _ROWS)
     return by(texts).cogroup(by(fates.unionByName(more))).applyInArrow(_cut, _OUT)

@@ -52,6 +52,33 @@ def test_made_texts(spark, monkeypatch):
     assert digests(suffixes.remove_repeats(spark.createDataFrame(few, "doc_id long, text string"))) == brute(few)
 
 
+def test_one_anchor_under_many_spans(spark):
+    """A rule of dashes between ever new neighbours is a hot anchor; its strings are dealt by their bytes."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for i in range(160):
+        line = "-" * rng.choice([30, 40, 60, 90])
+        rows.append((i, "".join(f"{word()} {word()} {line} {rng.choice('xyz')}" for _ in range(6))))
+    rows += [(300, rows[7][1] + rows[3][1]), (None, rows[9][1][:200]), (4, "-" * 500), (301, "-" * 51), (302, ("-" * 49 + "x") * 5)]
+    want = brute(rows)
+    for hot in (2, 10**9):
+        assert digests(suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot)) == want
+
+
+def test_digit_passes_let_bytes_decide():
+    """Strings of one group that differ in any byte are told apart; groups of one id are never removed."""
+    import numpy as np
+
+    base = b"abcdefghij" * 5
+    texts = [base, base[:49] + b"!", base, b"!" + base[1:], base[:25] + b"\0" + base[26:], base, b"\0" * 50, b"\0" * 50]
+    x = np.frombuffer(b"".join(texts), np.uint8)
+    ids = np.array([5, 1, 3, 1, 0, 3, 9, 8])
+    got = suffixes.equal_strings(x, np.arange(8) * 50, np.zeros(8, np.uint64), ids)
+    assert got.tolist() == [True, False, False, False, False, False, True, False]
+    assert suffixes.equal_strings(x, np.arange(8) * 50, np.arange(8).astype(np.uint64), ids).tolist() == [False] * 8
+
+
 def test_long_texts_in_pieces(monkeypatch):
     """A text that is hashed in several pieces has the same anchors' strings covered once."""
     import numpy as np
