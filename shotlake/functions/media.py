@@ -88,12 +88,32 @@ def confidence(distance: Column, threshold: Column) -> Column:
     return F.least(F.lit(1.0), distance / (3 * threshold))
 
 
-def clip_ms(window: int, fps: float) -> int:
-    return int(window / fps * 1000)
+def clip_ms(window: Column, fps: Column) -> Column:
+    """Truncated milliseconds of a clip of window frames."""
+    return (window / fps * 1000).cast("long")
 
 
-def clip_stride(window: int, overlap: float) -> int:
-    return max(1, int(window * (1 - overlap)))
+def clip_stride(window: Column, overlap: Column) -> Column:
+    """Frames from one clip's start to the next's: at least 1."""
+    return F.greatest(F.lit(1).cast("long"), (window * (1 - overlap)).cast("long"))
+
+
+def iso(ts: Column) -> Column:
+    """YYYY-MM-DDTHH:MM:SS of a timestamp without zone, with six digits of fraction if there is any."""
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.extract(F.lit("SECOND"), ts) % 1 == 0, whole).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def from_iso(text: Column) -> Column:
+    """A timestamp without zone; null where the text is none."""
+    return F.try_to_timestamp(F.replace(text, F.lit("T"), F.lit(" "))).cast("timestamp_ntz")
+
+
+def accepted(name: Column, size: Column) -> Column:
+    """The size of a file that passes validity(), else an error with the reason and what is allowed."""
+    reason = validity(name, size)
+    told = F.concat(F.lit("refused: "), reason, F.lit(f"; formats {', '.join(FORMATS)}; at most {MAX_BYTES} bytes, not "), size.cast("string"))
+    return F.when(reason.isNull(), size).otherwise(F.raise_error(told).cast("long"))
 
 
 def validity(name: Column, size: Column, exists: Column | None = None) -> Column:

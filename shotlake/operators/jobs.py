@@ -17,8 +17,10 @@ EDGES = {
     "failed": ("pending",),
 }
 #: Stage and progress milestone of a status (fixed values).
-STAGES = {"pending": "upload", "uploading": "upload", "processing": "preprocess", "extracting": "extract", "analyzing": "analyze", "complete": "complete", "failed": "failed", "cancelled": "cancelled"}
+STAGES = {"pending": "upload", "uploading": "upload", "processing": "preprocess", "extracting": "extract", "analyzing": "analyze", "complete": "complete", "failed": "failed", "cancelled": "failed"}
 MILESTONES = {"pending": 0.0, "processing": 0.1, "extracting": 0.3, "analyzing": 0.7, "complete": 1.0}
+#: Steps of processing a job with the status and progress that each reports (fixed values).
+STEPS = (("start", "processing", 0.1), ("preprocess", "processing", 0.2), ("extract", "extracting", 0.3), ("cache", "analyzing", 0.7), ("finish", "complete", 1.0))
 TERMINAL = ("complete", "failed", "cancelled")
 MAX_RETRIES = 3
 
@@ -74,10 +76,14 @@ def retry_counter(events: DataFrame, order: str = "seq") -> DataFrame:
     return events.withColumn("attempt", F.count_if(F.col("requested") == "failed").over(w)).withColumn("may_retry", F.col("attempt") < MAX_RETRIES)
 
 
-def upsert(table: DataFrame, patch: DataFrame, key: str, columns: list[str], insert: bool = False) -> DataFrame:
-    """Rows of table with the patch's non-null values in columns; with insert also the patch's new keys."""
-    p = patch.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+def upsert(table: DataFrame, patch: DataFrame, key: str, columns: list[str], insert: bool = False, order: str | None = None, stamp: Column | None = None) -> DataFrame:
+    """Rows of table with the patch's non-null values in columns; with insert also the patch's new keys. Of a key's several
+    patch rows the last by order (or by the columns) counts; stamp, if given, becomes updated_at of the rows that change."""
+    last = F.max(F.struct(*([order] if order else []), *columns)).alias("_x")
+    p = patch.where(F.col(key).isNotNull()).groupBy(key).agg(last).select(key, *[F.col(f"_x.{c}").alias(f"_{c}") for c in columns], F.lit(True).alias("_patched"))
     joined = table.join(p, key, "full" if insert else "left")
+    if stamp is not None:
+        joined = joined.withColumn("updated_at", F.when(F.col("_patched"), stamp).otherwise(F.col("updated_at")))
     return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in table.columns])
 
 

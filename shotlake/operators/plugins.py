@@ -20,13 +20,30 @@ def encode_text(text: Column) -> Column:
     return F.transform(F.split(F.lit("0123456789abcdef"), ""), lambda d: F.size(F.filter(digit, lambda x: x == d)).cast("double"))
 
 
-def batch_map(df: DataFrame, column: str, make: Callable[[np.ndarray], np.ndarray], load: Callable[[], object] | None = None) -> DataFrame:
+_models: dict[str, object] = {}
+
+
+def loaded(name: str, load: Callable[[], object]) -> object:
+    """What load returns, made once a worker process and name."""
+    if name not in _models:
+        _models[name] = load()
+    return _models[name]
+
+
+def unload(name: str) -> None:
+    """Forgets a model of this process."""
+    _models.pop(name, None)
+
+
+def batch_map(df: DataFrame, column: str, make: Callable[..., np.ndarray], model: tuple[str, Callable[[], object]] | None = None) -> DataFrame:
     """df with the vectors of column replaced by make(matrix), Arrow batch by Arrow batch; rows keep their order within a
-    partition. load, if given, runs once per task before the first batch (a model, say) and its result is passed too."""
+    partition. model, if given, is a name and what loads it, on first use in a worker process; it is passed to make too."""
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extra = (load(),) if load else ()
+        from shotlake.operators import plugins  # the worker's module holds its models
+
+        extra = (plugins.loaded(*model),) if model else ()
         for b in batches:
             if not b.num_rows:
                 continue
@@ -36,3 +53,15 @@ def batch_map(df: DataFrame, column: str, make: Callable[[np.ndarray], np.ndarra
             yield pa.RecordBatch.from_arrays([values if i == at else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
 
     return df.mapInArrow(run, df.schema)
+
+
+def embed_frames(frames: DataFrame, make: Callable[..., np.ndarray], order: str, step_ms: int = 500, model: tuple[str, Callable[[], object]] | None = None) -> DataFrame:
+    """job_id, frame_index, timestamp_ms and embedding made from the frames' vectors: ids count from 0 and times go on by
+    step_ms where the frames (job_id, order, embedding) have none of their own."""
+    from pyspark.sql import Window
+
+    n = (F.row_number().over(Window.partitionBy("job_id").orderBy(order)) - 1).cast("long")
+    own = lambda c, default: F.coalesce(F.col(c), default) if c in frames.columns else default
+    rows = frames.withColumn("_n", n)
+    rows = rows.select("job_id", own("frame_index", F.col("_n")).alias("frame_index"), own("timestamp_ms", F.col("_n") * step_ms).alias("timestamp_ms"), "embedding")
+    return batch_map(rows, "embedding", make, model)

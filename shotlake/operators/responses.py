@@ -10,6 +10,8 @@ from shotlake.functions.media import label_mmss, label_ms
 #: What an empty list of answers gives.
 NOTHING = "No responses to aggregate."
 SOURCE_CHARS = 200
+#: What stands before and after the time of a first, a middle and a last answer (fixed values).
+PHRASES = (("At the beginning (", "): "), ("At ", ": "), ("Finally (", "): "))
 
 
 def _ordered(responses: DataFrame, *fields: Column | str) -> DataFrame:
@@ -20,15 +22,16 @@ def _ordered(responses: DataFrame, *fields: Column | str) -> DataFrame:
 def aggregate(responses: DataFrame, mode: str) -> DataFrame:
     """responses (job_id, timestamp_ms, seq, answer, relevance) -> job_id, answer, confidence, n.
 
-    list: [MM:SS] answer, by line. synthesize: one answer as it is, else with words for first, middle and last.
+    list: [MM:SS] answer, by line. synthesize: one answer as it is, else each with its time, in the phrases PHRASES.
     Any other mode: joined by blanks."""
     df = _ordered(responses, "answer", "relevance")
     r, n = F.col("r"), F.size("r")
     if mode == "list":
         text = F.array_join(F.transform(r, lambda x: F.concat(F.lit("["), label_mmss(x["timestamp_ms"]), F.lit("] "), x["answer"])), "\n")
     elif mode == "synthesize":
-        word = lambda i: F.when(i == 0, "Initially, ").when(i == n - 1, "Finally, ").otherwise("Then, ")
-        text = F.when(n == 1, r[0]["answer"]).otherwise(F.array_join(F.transform(r, lambda x, i: F.concat(word(i), x["answer"])), " "))
+        first, middle, last = (lambda t, p=p: F.concat(F.lit(p[0]), t, F.lit(p[1])) for p in PHRASES)
+        phrase = lambda i, t: F.when(i == 0, first(t)).when(i == n - 1, last(t)).otherwise(middle(t))
+        text = F.when(n == 1, r[0]["answer"]).otherwise(F.array_join(F.transform(r, lambda x, i: F.concat(phrase(i, label_mmss(x["timestamp_ms"])), x["answer"])), " "))
     else:
         text = F.array_join(F.transform(r, lambda x: x["answer"]), " ")
     mean = F.aggregate(r, F.lit(0.0), lambda a, x: a + x["relevance"]) / n

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from shotlake.functions.vectors import EPS, cosine, dot
 
-#: Most query vectors that are broadcast as one matrix (at 1024 dimensions 80 MB).
-MAX_QUERIES = 10_000
+#: Most query vectors that are broadcast as one matrix (at 1024 dimensions 16 MB), and values of a block of products.
+MAX_QUERIES, BLOCK_VALUES = 2_000, 4_000_000
 
 
 def scored(vectors: DataFrame, query: DataFrame, plain: bool = False) -> DataFrame:
@@ -34,38 +34,65 @@ def rank_all(vectors: DataFrame, query: DataFrame, id: str = "frame_index") -> D
     return s.select("job_id", id, "score", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("score"), id)).alias("rank"))
 
 
-def multi_top_k(vectors: DataFrame, queries: DataFrame, k: int, id: str = "frame_index") -> DataFrame:
-    """(query_id, id, score, rank) of the k best for each row of queries (query_id, q). Up to MAX_QUERIES the queries are
-    one broadcast matrix and every Arrow batch keeps its own k best a query; above that both sides meet in a join."""
-    rows = queries.select("query_id", "q").limit(MAX_QUERIES + 1).collect()
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), id)
-    if len(rows) > MAX_QUERIES:
-        all_ = vectors.select(id, "embedding").crossJoin(queries.select("query_id", "q")).select("query_id", id, cosine(F.col("embedding"), F.col("q")).alias("score"))
-        return all_.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    names = [r["query_id"] for r in rows]
+def _multiplied(vectors: DataFrame, rows: list, k: int, id: str) -> DataFrame:
+    """(query_id, id, score) of the k best for each query of a block in each Arrow batch."""
     matrix = np.array([r["q"] for r in rows], float).reshape(len(rows), -1)
-    held = vectors.sparkSession.sparkContext.broadcast((names, matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + EPS)))
+    held = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + EPS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names_, q = held.value
-        for b in batches:
-            if not b.num_rows or not names_:
-                continue
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            s = q @ (v / (np.linalg.norm(v, axis=1, keepdims=True) + EPS)).T
-            pick = np.stack([np.lexsort((ids, -row))[:k] for row in s])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names_, pick.shape[1])), pa.array(ids[pick].ravel()), pa.array(np.take_along_axis(s, pick, 1).ravel())], names=["query_id", id, "score"])
-
-    found = vectors.select(F.col(id).cast("long").alias(id), "embedding").mapInArrow(run, f"query_id long, {id} long, score double")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
-def pairs(vectors: DataFrame, id: str = "frame_index") -> DataFrame:
-    """(job_id, a, b, score) of all pairs a < b within a job; a job is capped by the sampler."""
-    a = vectors.select("job_id", F.col(id).alias("a"), F.col("embedding").alias("va"))
-    b = vectors.select("job_id", F.col(id).alias("b"), F.col("embedding").alias("vb"))
-    return a.join(b, "job_id").where("a < b").select("job_id", "a", "b", cosine(F.col("va"), F.col("vb")).alias("score"))
+        names, q = held.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, step := max(k, BLOCK_VALUES // len(names))):
+                b = whole.slice(at, step)
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                s = q @ (v / (np.linalg.norm(v, axis=1, keepdims=True) + EPS)).T
+                pick = np.stack([np.lexsort((ids, -row))[:k] for row in s])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, pick.shape[1])), pa.array(ids[pick].ravel()), pa.array(np.take_along_axis(s, pick, 1).ravel())], names=["query_id", id, "score"])
+
+    return vectors.select(F.col(id).cast("long").alias(id), "embedding").mapInArrow(run, f"query_id long, {id} long, score double")
+
+
+def multi_top_k(vectors: DataFrame, queries: DataFrame, k: int, id: str = "frame_index") -> DataFrame:
+    """(query_id, id, score, rank) of the k best for each row of queries (query_id, q): exact, by blocks of MAX_QUERIES
+    queries, each broadcast as one matrix. Every Arrow batch keeps its own k best a query, so only k rows a query and batch
+    are exchanged; a block of queries is one scan of the vectors and the queries pass the driver block by block."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), id)
+    out, block = None, []
+    asked = queries.select("query_id", "q").where(F.col("q").isNotNull()).toLocalIterator()
+    for row in asked:
+        block.append(row)
+        if len(block) == MAX_QUERIES:
+            found = _multiplied(vectors, block, k, id)
+            out, block = found if out is None else out.unionByName(found), []
+    if block or out is None:
+        found = _multiplied(vectors, block, k, id) if block else vectors.sparkSession.createDataFrame([], f"query_id long, {id} long, score double")
+        out = found if out is None else out.unionByName(found)
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def pairs(vectors: DataFrame, id: str = "frame_index", block: int = 1000) -> DataFrame:
+    """(job_id, a, b, score) of all pairs a < b within a job. A job's vectors are dealt into blocks by a hash of the id, and
+    each pair of blocks is one matrix product, so a task holds two blocks however long the job is."""
+    rows = vectors.select("job_id", F.col(id).cast("long").alias("id"), "embedding")
+    sizes = rows.groupBy("job_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("n"))
+    dealt = rows.join(sizes, "job_id").withColumn("k", F.pmod(F.xxhash64("id"), F.col("n")))
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda o: F.struct(F.least(F.col("k"), o).alias("i"), F.greatest(F.col("k"), o).alias("j")))
+    dealt = dealt.select("job_id", "id", "embedding", "k", F.explode(met).alias("p")).select("job_id", "id", "embedding", "k", "p.i", "p.j")
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, k = t["id"].to_numpy(), t["k"].to_numpy()
+        v = np.array(t["embedding"].to_pylist(), float).reshape(len(ids), -1)
+        v = v / (np.linalg.norm(v, axis=1, keepdims=True) + EPS)
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        left, right = np.flatnonzero(k == i), np.flatnonzero(k == j)
+        s = v[left] @ v[right].T
+        a, b = (x.ravel() for x in np.meshgrid(ids[left], ids[right], indexing="ij"))
+        on = a < b if i == j else np.ones(len(a), bool)
+        one, two = np.minimum(a, b)[on], np.maximum(a, b)[on]
+        return pa.table({"job_id": pa.array(np.full(len(one), t["job_id"][0].as_py()), pa.int64()), "a": one, "b": two, "score": s.ravel()[on]})
+
+    return dealt.groupBy("job_id", "i", "j").applyInArrow(run, "job_id long, a long, b long, score double")
 
 
 def fused(spatial: DataFrame, temporal: DataFrame | None, k: int, alpha: float = 0.5) -> DataFrame:

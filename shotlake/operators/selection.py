@@ -36,19 +36,19 @@ def pick_diverse(e: np.ndarray, n: int) -> list[int]:
     if len(e) <= n:
         return list(range(len(e)))
     unit = e / (np.linalg.norm(e, axis=1, keepdims=True) + 1e-7)
-    d = np.round(1 - unit @ unit.T, 12)
-    picked = [int(np.argmax(np.round(d.mean(axis=1), 12)))]
-    least = d[picked[0]].copy()
+    far = lambda k: np.round(1 - unit @ unit[k], 12)
+    picked = [int(np.argmax(np.round(1 - unit @ unit.mean(axis=0), 12)))]
+    least = far(picked[0])
     while len(picked) < n:
         least[picked] = -np.inf
         picked.append(int(np.argmax(least)))
-        least = np.minimum(least, d[picked[-1]])
+        least = np.minimum(least, far(picked[-1]))
     return picked
 
 
 def diverse(frames: DataFrame, n: int | str) -> DataFrame:
     """(job_id, frame_index, pick) of the n most diverse frames of each job; n is a number or a column of the frames.
-    A job is capped by the sampler, so its matrix of distances is bounded."""
+    A job's vectors meet in one task, beside one distance for each: as many as the sampler keeps of a job."""
     rows = frames.select("job_id", "frame_index", "embedding", (F.lit(n) if isinstance(n, int) else F.col(n)).cast("long").alias("want"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -95,3 +95,11 @@ def frame_rows(selected: DataFrame, boundaries: DataFrame) -> DataFrame:
     """Chosen frames with their type."""
     b = boundaries.select("job_id", "frame_index", F.lit("scene_boundary").alias("t"))
     return selected.join(b, ["job_id", "frame_index"], "left").select("job_id", "frame_index", F.coalesce("timestamp_ms", F.lit(0)).cast("long").alias("timestamp_ms"), F.coalesce("t", F.lit("regular")).alias("frame_type"))
+
+
+def from_frames(frames: DataFrame, order: str, target: int = 15, max_frames: int = 30, gap_ms: int = 2000, step_ms: int = 500, boundaries=None) -> DataFrame:
+    """select() for frames (job_id, order, embedding) without ids and times: ids count from 0 in order, times go on by
+    step_ms. boundaries makes the shot boundaries from such frames."""
+    n = (F.row_number().over(Window.partitionBy("job_id").orderBy(order)) - 1).cast("long")
+    f = frames.withColumn("_n", n).select("job_id", F.col("_n").alias("frame_index"), (F.col("_n") * step_ms).alias("timestamp_ms"), "embedding")
+    return select(f, boundaries(f), target, max_frames, gap_ms)

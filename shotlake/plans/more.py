@@ -63,7 +63,7 @@ def k3_append_vectors(spark, sf_dir):
     return old.unionByName(new).select("frame_index", F.coalesce("timestamp_ms", F.lit(0)).alias("timestamp_ms"), F.coalesce("is_selected", F.lit(False)).alias("is_selected"))
 
 
-@query("SELECT doc_id, coalesce(l.source, d.source) AS source FROM (SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0) AS d FULL JOIN (SELECT doc_id, 'patched' AS source FROM labels WHERE toxic = 1) AS l USING (doc_id)")
+@query("SELECT doc_id, coalesce(l.source, d.source) AS source FROM documents AS d FULL JOIN (SELECT doc_id, 'patched' AS source FROM labels WHERE toxic = 1) AS l USING (doc_id)")
 def k10_field_merge(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     p = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.lit("patched").alias("source"))
@@ -103,7 +103,7 @@ def j1_hits_to_rows(spark, sf_dir):
     f = frames(spark, sf_dir)
     rows = f.select("frame_index", "job_id", F.when(F.col("frame_index") % 3 != 0, F.col("timestamp_ms")).alias("t"))
     hits = search.top_k(f, one(spark, sf_dir), 10)
-    return rows.join(F.broadcast(hits), "frame_index").select("frame_index", F.coalesce("t", F.lit(0)).alias("timestamp_ms"), "job_id")
+    return hits.join(rows, "frame_index", "left").select("frame_index", F.coalesce("t", F.lit(0)).alias("timestamp_ms"), "job_id")
 
 
 @query(f"WITH RECURSIVE {O.VS} SELECT f.job_id, f.frame_index, b.pos IS NOT NULL AS is_boundary FROM f LEFT JOIN b ON b.job_id = f.job_id AND b.frame_index = f.frame_index")

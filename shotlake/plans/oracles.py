@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from shotlake.functions.media import FORMATS
-from shotlake.operators.jobs import EDGES, MILESTONES, STAGES
 from shotlake.operators.responses import SOURCE_CHARS
 
 F = "f AS (SELECT CAST(label AS BIGINT) AS job_id, vec_id AS frame_index, vec_id * 500 AS timestamp_ms, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)"
@@ -37,7 +36,7 @@ P0 = f"{F}, {q()}, s AS (SELECT job_id, frame_index, timestamp_ms, embedding, {d
 E = "e AS (SELECT user_id AS identifier, epoch_us(ts) AS us, event_id, event_type, value FROM events)"
 R = f"""{E}, r AS (SELECT identifier AS job_id, event_id AS seq, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'retry' ELSE
     CASE event_type WHEN 'view' THEN 'processing' WHEN 'click' THEN 'extracting' WHEN 'signup' THEN 'analyzing' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'failed' ELSE 'cancelled' END END AS requested FROM e)"""
-A = "a AS (SELECT conv_id AS job_id, turn * 1000 AS timestamp_ms, turn AS seq, substr(text, 1, 300) AS answer, 1.0 / (turn + 1) AS relevance FROM conversations)"
+A = "a AS (SELECT conv_id AS job_id, turn * 1000 AS timestamp_ms, turn AS seq, text AS answer, 1.0 / (turn + 1) AS relevance FROM conversations)"
 
 
 def clips(mode: str) -> str:
@@ -118,12 +117,16 @@ MMSS = "printf('%02d:%02d', {0} // 60000, {0} % 60000 // 1000)"
 EXT = "lower(regexp_extract({0}, '[^/.][^/]*\\.([^./]*)$', 1))"
 
 
-def when(key: str, values: dict, default: str) -> str:
-    lit = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
-    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {lit(v)}" for k, v in values.items()) + f" ELSE {default} END"
-
-
-LEGAL = "(" + " OR ".join(f"{{0}} = '{a}' AND {{1}} IN ({', '.join(repr(b) for b in bs)})" for a, bs in EDGES.items()) + ")"
+#: The legal transitions, written out.
+LEGAL_PAIRS = {
+    "pending": ["uploading", "processing", "cancelled"],
+    "uploading": ["processing", "failed", "cancelled"],
+    "processing": ["extracting", "failed", "cancelled"],
+    "extracting": ["analyzing", "failed", "cancelled"],
+    "analyzing": ["complete", "failed", "cancelled"],
+    "failed": ["pending"],
+}
+LEGAL = "(" + " OR ".join(f"{{0}} = '{a}' AND {{1}} IN ({', '.join(repr(b) for b in bs)})" for a, bs in LEGAL_PAIRS.items()) + ")"
 FOLD = f"""{R}, fr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS rn FROM r),
 st AS (SELECT DISTINCT job_id, 0 AS rn, 'pending' AS status, 0 AS retries, 0 AS rejected FROM fr
   UNION ALL SELECT job_id, rn, CASE WHEN re THEN 'pending' WHEN ok THEN requested ELSE status END, retries + CAST(re AS INT), rejected + CAST(NOT (re OR ok) AS INT) FROM (
@@ -162,7 +165,7 @@ SELECT frame_index, substr(md5(len(t) || ',' || array_to_string(t[1:4], ',') ||
     "v9_distance": f"WITH {S0} SELECT frame_index, round(1 - score, 6) AS distance FROM s",
     "o2_topk": f"WITH {S0} SELECT frame_index, round(score, 6) AS score FROM s ORDER BY s.score DESC, frame_index LIMIT 10",
     "o4_rank_all": f"WITH {F}, {q(3)}, s AS (SELECT job_id, frame_index, {dot('embedding', 'e')} AS sc FROM f, q) SELECT job_id, frame_index, row_number() OVER (PARTITION BY job_id ORDER BY sc DESC, frame_index) AS rank, round(sc, 6) AS score FROM s",
-    "o8_multi_topk": f"""WITH {F}, s AS (SELECT a.frame_index AS query_id, b.frame_index, {cosine('b.embedding', 'a.embedding')} AS sc FROM f AS a JOIN f AS b ON a.frame_index % 25 = 0),
+    "o8_multi_topk": f"""WITH {F}, s AS (SELECT a.frame_index AS query_id, b.frame_index, {cosine('b.embedding', 'a.embedding')} AS sc FROM f AS a JOIN f AS b ON a.frame_index % 20 = 0),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, frame_index) AS rank FROM s) SELECT query_id, frame_index, rank, round(sc, 6) AS score FROM t WHERE rank <= 5""",
     "j6_pairs_in_label": f"WITH {F} SELECT a.job_id, a.frame_index AS a, b.frame_index AS b, round({cosine('a.embedding', 'b.embedding')}, 6) AS score FROM f AS a JOIN f AS b ON a.job_id = b.job_id AND a.frame_index < b.frame_index",
     "u1_fused": f"WITH {CLIPS}, {lists(10, 10)} SELECT stream, id, round(score, 6) AS score FROM (FROM sp UNION ALL FROM te)",
@@ -210,13 +213,12 @@ rp AS (SELECT * FROM re WHERE l > 0), {diverse('rp', 'l')},
 un AS (SELECT DISTINCT job_id, frame_index FROM (SELECT job_id, frame_index FROM ca UNION ALL SELECT job_id, frame_index FROM dv)),
 ut AS (SELECT job_id, frame_index, timestamp_ms FROM un JOIN f USING (job_id, frame_index)), {greedy('ut', 'job_id', 'timestamp_ms', 2000, 'kept', 'k')}
 SELECT job_id, frame_index, timestamp_ms FROM kept""",
-    "g7_frame_rows": f"WITH RECURSIVE {VS} SELECT f.job_id, f.frame_index, f.timestamp_ms, CASE WHEN b.pos IS NULL THEN 'regular' ELSE 'scene_boundary' END AS frame_type FROM f LEFT JOIN b ON b.job_id = f.job_id AND b.frame_index = f.frame_index WHERE f.frame_index % 3 = 0",
     "w5_rate_limit": f"""WITH {E}, d AS (SELECT DISTINCT identifier, us FROM e), t AS (SELECT *, count(*) OVER (PARTITION BY identifier ORDER BY us RANGE BETWEEN {WIN - 1} PRECEDING AND CURRENT ROW) AS n FROM d)
 SELECT identifier, us, n, n <= 3 AS allowed, greatest(0, 3 - n) AS remaining, (us + {WIN}) // 1000000 AS reset_s FROM t""",
     "w6_rate_info": f"WITH {E}, d AS (SELECT DISTINCT identifier, us FROM e), t AS (SELECT *, count(*) OVER (PARTITION BY identifier ORDER BY us RANGE BETWEEN {WIN} PRECEDING AND CURRENT ROW) AS n FROM d) SELECT identifier, us, n, greatest(0, 3 - n) AS remaining FROM t",
     "j9_transitions": f"WITH {R}, t AS (SELECT job_id, seq, requested, coalesce(lag(requested) OVER (PARTITION BY job_id ORDER BY seq), 'pending') AS before FROM r) SELECT job_id, seq, {LEGAL.format('before', 'requested')} AS legal FROM t",
     "g11_state_fold": f"WITH RECURSIVE {FOLD} SELECT job_id, status, retries, rejected FROM fin",
-    "g12_progress": f"WITH RECURSIVE {FOLD} SELECT job_id, status, {when('status', STAGES, repr('failed'))} AS stage, CAST({when('status', MILESTONES, '0.0')} AS DOUBLE) AS progress, status IN ('complete', 'failed', 'cancelled') AS done FROM fin",
+    "g12_progress": f"WITH RECURSIVE {FOLD} SELECT job_id, status, CASE WHEN status IN ('pending', 'uploading') THEN 'upload' WHEN status = 'processing' THEN 'preprocess' WHEN status = 'extracting' THEN 'extract' WHEN status = 'analyzing' THEN 'analyze' WHEN status = 'complete' THEN 'complete' ELSE 'failed' END AS stage, CAST(CASE status WHEN 'processing' THEN 0.1 WHEN 'extracting' THEN 0.3 WHEN 'analyzing' THEN 0.7 WHEN 'complete' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS progress, status IN ('complete', 'failed', 'cancelled') AS done FROM fin",
     "w9_retries": f"WITH {R}, t AS (SELECT job_id, seq, count(*) FILTER (requested = 'failed') OVER (PARTITION BY job_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS attempt FROM r) SELECT job_id, seq, attempt, attempt < 3 AS may_retry FROM t",
     "k2_upsert": "SELECT doc_id, lang, CASE WHEN quality = 1 THEN 'good' ELSE source END AS source, n_chars FROM documents LEFT JOIN labels USING (doc_id)",
     "k4_path_update": f"WITH {F} SELECT job_id, frame_index, frame_index % 4 = 0 AS is_selected, CASE WHEN frame_index % 4 = 0 THEN printf('frame_%06d.jpg', frame_index) END AS frame_path FROM f",
@@ -225,16 +227,16 @@ SELECT identifier, us, n, n <= 3 AS allowed, greatest(0, 3 - n) AS remaining, (u
     "a6_counts": f"""WITH RECURSIVE {VS}, {clips('seek')}, nf AS (SELECT job_id, count(*) AS n_frames FROM f GROUP BY 1), nc AS (SELECT job_id, count(*) AS n_clips FROM c GROUP BY 1), ns AS (SELECT job_id, count(*) AS n_shots FROM b GROUP BY 1)
 SELECT job_id, n_frames, coalesce(n_clips, 0) AS n_clips, coalesce(n_shots, 0) AS n_shots FROM nf LEFT JOIN nc USING (job_id) LEFT JOIN ns USING (job_id)""",
     "g9_list": f"WITH {AN} " + AGG.format(f"string_agg('[' || {MMSS.format('timestamp_ms')} || '] ' || answer, chr(10) ORDER BY rn)", "an"),
-    "g9_synthesize": f"WITH {AN} " + AGG.format("string_agg(CASE WHEN total = 1 THEN '' WHEN rn = 1 THEN 'Initially, ' WHEN rn = total THEN 'Finally, ' ELSE 'Then, ' END || answer, ' ' ORDER BY rn)", "an"),
+    "g9_synthesize": f"WITH {AN} " + AGG.format("string_agg(CASE WHEN total = 1 THEN '' WHEN rn = 1 THEN 'At the beginning (' || " + MMSS.format("timestamp_ms") + " || '): ' WHEN rn = total THEN 'Finally (' || " + MMSS.format("timestamp_ms") + " || '): ' ELSE 'At ' || " + MMSS.format("timestamp_ms") + " || ': ' END || answer, ' ' ORDER BY rn)", "an"),
     "g9_concat": f"WITH {AN} " + AGG.format("string_agg(answer, ' ' ORDER BY rn)", "an"),
     "a10_equal_weight": f"WITH {A} SELECT job_id, seq, round(1.0 / count(*) OVER (PARTITION BY job_id), 6) AS weight, substr(answer, 1, {SOURCE_CHARS}) AS description FROM a",
     "g13_analysis": f"WITH {AN} SELECT job_id, 'Question: What happens?' || chr(10) || 'Frames:' || chr(10) || string_agg('Frame ' || rn || ' at ' || {LABEL.format('timestamp_ms')}, chr(10) ORDER BY rn) AS prompt FROM an GROUP BY job_id",
     "g13_summary": f"WITH {AN} SELECT job_id, 'Summarise these observations:' || chr(10) || string_agg(rn || '. [' || {LABEL.format('timestamp_ms')} || '] ' || answer, chr(10) ORDER BY rn) AS prompt FROM an GROUP BY job_id",
     "g13_comparison": f"WITH {AN} SELECT job_id, 'Compare with regard to: mood' || chr(10) || string_agg('Item ' || rn || ': ' || answer, chr(10) ORDER BY rn) AS prompt FROM an GROUP BY job_id",
-    "g14_query_path": f"""WITH {CLIPS}, {lists(8, 4, 'job_id % 2 = 0')}, hits AS (FROM sp UNION ALL FROM te),
-fr AS (SELECT id AS frame_index, score FROM hits WHERE stream = 'spatial' UNION ALL
+    "g14_query_path": f"""WITH RECURSIVE {FOLD}, {CLIPS}, {lists(8, 4, "job_id IN (SELECT job_id FROM fin WHERE status = 'complete')")}, hits AS (FROM sp UNION ALL FROM te),
+fo AS (SELECT id AS frame_index, score FROM hits WHERE stream = 'spatial' UNION ALL
   SELECT f.frame_index, score FROM hits JOIN ct ON ct.job_id * 1000 + ct.clip_index = id JOIN f ON f.job_id = ct.job_id AND timestamp_ms BETWEEN start_ms AND end_ms WHERE stream = 'temporal')
-SELECT frame_index, max(round(score, 6)) AS score FROM fr GROUP BY frame_index ORDER BY score DESC, frame_index LIMIT 12""",
+SELECT frame_index, max(round(score, 6)) AS score FROM fo GROUP BY frame_index ORDER BY score DESC, frame_index LIMIT 12""",
     "g17_cache_miss": "SELECT item_id, md5(item_id || '|' || text || '|10|true') AS key FROM benchmark WHERE NOT (item_id % 3 = 0 AND item_id * 600 < 3600)",
     "a11_medoid": f"""WITH {F}, e AS (SELECT job_id, unnest(embedding) AS x, unnest(range(0, 64)) AS pos FROM f), m AS (SELECT job_id, pos, avg(x) AS x FROM e GROUP BY ALL), c AS (SELECT job_id, list(x ORDER BY pos) AS centre FROM m GROUP BY job_id),
 d AS (SELECT job_id, frame_index, round(list_sum([(embedding[i] - centre[i]) * (embedding[i] - centre[i]) for i in range(1, 65)]), 9) AS d FROM f JOIN c USING (job_id)),
@@ -243,3 +245,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY d, frame_index)
     "x1_stream_shots": f"WITH {HD} SELECT job_id, frame_index, round(distance, 6) AS distance, round(least(1.0, distance / 0.9), 6) AS confidence FROM x WHERE distance > 0.3",
     "x2_stream_limit": f"WITH {E}, d AS (SELECT DISTINCT identifier, us FROM e), t AS (SELECT *, count(*) OVER (PARTITION BY identifier ORDER BY us RANGE BETWEEN {WIN - 1} PRECEDING AND CURRENT ROW) AS n FROM d) SELECT identifier, us, n, n <= 3 AS allowed FROM t",
 }
+ORACLES["g7_frame_rows"] = (
+    ORACLES["g6_select"].replace("SELECT job_id, frame_index, timestamp_ms FROM kept", "")
+    + "SELECT k.job_id, k.frame_index, k.timestamp_ms, CASE WHEN b.pos IS NULL THEN 'regular' ELSE 'scene_boundary' END AS frame_type FROM kept AS k LEFT JOIN b ON b.job_id = k.job_id AND b.frame_index = k.frame_index"
+)

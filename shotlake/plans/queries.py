@@ -11,6 +11,7 @@ from shotlake.functions import media as M
 from shotlake.functions import vectors as V
 from shotlake.operators import clips as C
 from shotlake.operators import cluster, jobs, limits, responses, search, selection, shots
+from shotlake.session import shared_folder
 from shotlake.sources.tables import frames, histograms, ordinals, requests, table
 from shotlake.streaming import state
 
@@ -130,7 +131,7 @@ def o4_rank_all(spark, sf_dir):
 @query
 def o8_multi_topk(spark, sf_dir):
     f = frames(spark, sf_dir)
-    q = f.where("frame_index % 25 = 0").select(F.col("frame_index").alias("query_id"), F.col("embedding").alias("q"))
+    q = f.where("frame_index % 20 = 0").select(F.col("frame_index").alias("query_id"), F.col("embedding").alias("q"))
     return search.multi_top_k(f, q, 5).select("query_id", "frame_index", F.col("rank").cast("long").alias("rank"), r6("score").alias("score"))
 
 
@@ -537,11 +538,7 @@ def _name(kind: str) -> str:
 
 
 def _landed(df: DataFrame) -> str:
-    """df as files that a stream can read, in the folder of spark.checkpoint.dir (a fresh temporary one if unset)."""
-    import tempfile
-
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shotlake-")
-    path = f"{folder.rstrip('/')}/{_name('stream')}"
+    """df as files that a stream can read, in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/{_name('stream')}"
     df.write.parquet(path)
     return path

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,13 +10,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Milliseconds after which the state of a silent key is removed: a day.
+IDLE_MS = 86_400_000
+
 
 def stream_shots(frames: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Boundaries of a stream of (job_id, frame_index, hist): state is the previous histogram. The first frame of a job
     gives nothing; the threshold is fixed and there is no least scene length, other than in batch. Frames of a job
-    must arrive in order; those of one micro-batch are sorted."""
+    must arrive in order; those of one micro-batch are sorted. A job that is not heard of for IDLE begins anew."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(batches)).sort_values("frame_index")
         last = np.array(state.get[0]) if state.exists else None
         rows = []
@@ -25,26 +32,33 @@ def stream_shots(frames: DataFrame, threshold: float = 0.3) -> DataFrame:
                 rows.append((key[0], int(index), d, min(1.0, d / (3 * threshold))))
             last = h
         state.update((last.tolist(),))
+        state.setTimeoutDuration(IDLE_MS)
         yield pd.DataFrame(rows, columns=["job_id", "frame_index", "distance", "confidence"])
 
-    return frames.groupBy("job_id").applyInPandasWithState(run, "job_id long, frame_index long, distance double, confidence double", "last array<double>", "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("job_id").applyInPandasWithState(run, "job_id long, frame_index long, distance double, confidence double", "last array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def stream_limit(requests: DataFrame, limit: int, window_us: int) -> DataFrame:
-    """Verdicts on a stream of (identifier, us): state is the stamps inside the window. Equal stamps count once."""
+    """Verdicts on a stream of (identifier, us): state is the stamps of about the last window, sorted. Equal stamps count
+    once. A stamp that comes late counts those of the window before it, not those after it; stamps more than two windows
+    behind the latest are forgotten. An identifier that is not heard of for IDLE has its state removed."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = sorted(state.get[0]) if state.exists else []
         rows = []
         for us in sorted(set(pd.concat(list(batches))["us"].tolist())):
-            held = [x for x in held if x > us - window_us]
-            if us not in held:
-                held.append(us)
-            rows.append((key[0], us, len(held), len(held) <= limit))
-        state.update((held,))
+            if (at := bisect_left(held, us)) == len(held) or held[at] != us:
+                held.insert(at, us)
+            n = at + 1 - bisect_right(held, us - window_us)
+            rows.append((key[0], us, n, n <= limit))
+        state.update((held[bisect_right(held, held[-1] - 2 * window_us) :],))
+        state.setTimeoutDuration(IDLE_MS)
         yield pd.DataFrame(rows, columns=["identifier", "us", "n", "allowed"])
 
-    return requests.groupBy("identifier").applyInPandasWithState(run, "identifier long, us long, n long, allowed boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("identifier").applyInPandasWithState(run, "identifier long, us long, n long, allowed boolean", "held array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:

@@ -5,9 +5,9 @@ import os
 import duckdb
 import pytest
 
-from shotlake.plans import more, oracles, queries
+from shotlake.plans import further, more, oracles, queries
 
-QUERIES, ORACLES = queries.QUERIES | more.QUERIES, oracles.ORACLES | more.ORACLES
+QUERIES, ORACLES = queries.QUERIES | more.QUERIES | further.QUERIES, oracles.ORACLES | more.ORACLES | further.ORACLES
 
 
 @pytest.fixture(scope="module")
