@@ -520,10 +520,10 @@ def g8_lloyd_fixed(spark, sf_dir):
 
 @query
 def x1_stream_shots(spark, sf_dir):
-    h = histograms(spark, sf_dir)
+    h = histograms(spark, sf_dir).withColumn("at", F.timestamp_seconds((F.col("frame_index") + 19723) * 86400))
     path = _landed(h)
     stream = spark.readStream.schema(h.schema).parquet(path)
-    return state.drained(state.stream_shots(stream), _name("shots")).select("job_id", "frame_index", r6("distance").alias("distance"), r6("confidence").alias("confidence"))
+    return state.drained(state.stream_shots(stream, time="at"), _name("shots")).select("job_id", "frame_index", r6("distance").alias("distance"), r6("confidence").alias("confidence"))
 
 
 @query
