@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotlake.llm import bpe, decontaminate, jaccard, quality, secrets
-from shotlake.llm.shared import written
+from shotlake.llm.shared import clean, fresh_path, mark, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by their kind; n_chars follows."""
+    """Secrets in the texts, and the rest of a token that one is part of, are replaced by their kind; n_chars follows."""
     found = secrets.scan(docs)
-    text = F.when(F.col("row.text").isNotNull(), secrets.redacted(F.col("text"), F.col("found")))
+    text = F.when(F.col("row.text").isNotNull(), secrets.redacted(F.col("text"), secrets.extended(F.col("found"), F.col("touched"))))
     out = found.select("row.*", text.alias("_text"), (F.size("found") > 0).alias("_changed"))
     new = {"text": F.col("_text"), "n_chars": F.when(F.col("_changed"), F.char_length("_text").cast("long")).otherwise(F.col("n_chars"))}
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
@@ -61,6 +61,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    begun = mark()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = fresh_path(spark, name)
+        docs = written(stage(spark, docs, sf_dir), name, path)
+        clean(spark, begun, path)  # the stage before and what this one left
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -114,16 +114,29 @@ def is_secret(token: Column, model: Column) -> Column:
 
 
 def with_all_spans(df: DataFrame, ratios: list[float]) -> DataFrame:
-    """Adds the base spans and ``found``: base and model's spans by start, then by kind. A token that touches a base
-    span is left to it."""
+    """Adds the base spans, ``found``: base and model's spans by start, then by kind, and ``touched``: tokens that overlap a
+    base span. Such a token is left to the base span; extended() is for callers that cut secrets out."""
     model = table(ratios)
     df = with_base_spans(df).withColumn("base", F.concat("assign", "access", "hex"))
     df = with_spans(df, "markov", "markov", TOKEN)
     # let: keeps Catalyst from moving the expression of base into the lambda
+    df = df.withColumn("touched", let(F.col("base"), lambda base: F.filter("markov", lambda s: overlaps(s, base))))
     df = df.withColumn("markov", let(F.col("base"), lambda base: F.filter("markov", lambda s: ~overlaps(s, base) & is_secret(s["value"], model))))
     return df.withColumn("base", by_start(F.col("base"))).withColumn("found", by_start(F.concat("base", "markov")))
 
 
+def extended(found: Column, touched: Column) -> Column:
+    """Spans of ``found``, each from the first to the last character of the tokens of ``touched`` that overlap it."""
+
+    def grown(s: Column) -> Column:
+        own = F.filter(touched, lambda t: (t["start"] < s["end"]) & (t["end"] > s["start"]))
+        start = F.least(s["start"], F.coalesce(F.array_min(F.transform(own, lambda t: t["start"])), s["start"]))
+        end = F.greatest(s["end"], F.coalesce(F.array_max(F.transform(own, lambda t: t["end"])), s["end"]))
+        return F.struct(s["kind"].alias("kind"), start.alias("start"), end.alias("end"), s["value"].alias("value"))
+
+    return F.when(F.size(touched) == 0, found).otherwise(by_start(F.transform(found, grown)))
+
+
 def by_start(spans: Column) -> Column:
     rank = F.array(*[F.lit(k) for k in KINDS])
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(rank, s["kind"]).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")))

@@ -6,7 +6,8 @@ them over all partitions (one small aggregate, at most ranges x probes rows), an
 probes that enclose the wanted total. A splitter is settled once the bytes below its lower end are within the
 tolerance of the wanted total, or its interval holds one key. Only when one hash value alone is too heavy (a large group
 of equal texts) does the search go on over ids inside it, so a group is cut only where the tolerance demands it.
-Then rows are exchanged once, by range; a shard is a fixed number of ranges, so no task holds a whole shard.
+Then rows are exchanged once, by range; a shard is a number of ranges that grows with the rows, up to MAX_RANGES in all, so
+no task holds a whole shard and the driver never more than MAX_RANGES * 2**DIGIT counts.
 
 Defined results: a null text counts as empty; a null id sorts first; rows equal in text and id stay in one shard and get
 different slots; an empty table gives an empty result; further columns are not carried.
@@ -25,8 +26,8 @@ from .shared import text_or_empty, written
 TOLERANCE = 0.005
 #: Bits by which a round refines the probes of an open interval, and of the first round.
 DIGIT, FIRST_DIGIT = 6, 12
-#: Ranges that make a shard; each is one task's work.
-RANGES_PER_SHARD = 8
+#: Least ranges that make a shard, rows beyond which there are more, and most ranges of all shards. Each is one task's work.
+RANGES_PER_SHARD, ROWS_PER_RANGE, MAX_RANGES = 8, 1_000_000, 4096
 
 _LOW, _HIGH = -(2**63), 2**63
 
@@ -131,13 +132,15 @@ def range_of(h: Column, id: Column, cuts: Sequence[tuple[int, int]]) -> Column:
     return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), step, lambda a: a["lo"])
 
 
-def shard_by_bytes(docs: DataFrame, shards: int, id: str = "doc_id", text: str = "text", ranges_per_shard: int = RANGES_PER_SHARD, tolerance: float = TOLERANCE) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int, id: str = "doc_id", text: str = "text", ranges_per_shard: int = RANGES_PER_SHARD, tolerance: float = TOLERANCE, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot: sizes of shards near equal, slots gapless from 0 in key order.
 
     The keys are written once to the shared folder, for the rounds to read."""
     from pyspark.sql import Window
 
     keys = written(keyed(docs, id, text), "shard-keys")
+    most = max(ranges_per_shard, MAX_RANGES // shards)
+    ranges_per_shard = min(most, max(ranges_per_shard, -(-keys.count() // (rows_per_range * shards))))
     cuts = splitters(keys, shards * ranges_per_shard, tolerance, per_shard=ranges_per_shard)
     placed = keys.withColumn("range", range_of(F.col("h"), F.col("doc_id"), cuts))
     counts = {r["range"]: r["n"] for r in placed.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a range
@@ -146,7 +149,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, id: str = "doc_id", text: str =
         seen = 0 if k % ranges_per_shard == 0 else seen
         before.append(seen)
         seen += counts.get(k, 0)
-    offset = F.get(F.array(*[F.lit(x) for x in before]), F.col("range")).cast("long")
+    offset = F.get(F.split(F.lit(" ".join(map(str, before))), " ").cast("array<bigint>"), F.col("range"))
     in_range = Window.partitionBy("range").orderBy("h", "doc_id")
     return placed.select(
         "doc_id",

@@ -26,14 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this process has made in the shared one, in order.
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def mark() -> int:
+    """How many folders there are so far, for clean()."""
+    return len(_made)
+
+
+def clean(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Removes the folders made since a mark, but for one: once what was computed from them has been written elsewhere."""
+    for path in [p for p in _made[since:] if p != keep]:
+        remove(spark, path)
+        _made.remove(path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors. It stays until clean()."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -11,14 +11,16 @@ Of records with equal payloads of at least REVISIT_BYTES the one of the largest
 revisits that refer to it and carry no payload.
 
 Defined results: a null payload counts as empty; a null page id sorts first, has no id header and reads back as null; of
-rows equal in page id and payload each gives a record (all are responses if their id is the largest); a null or odd url
-is percent-encoded or replaced by a urn; an empty table gives an archive without files; further columns are not written.
+rows equal in page id and payload each gives a record (all are responses if their id is the largest); a url with characters
+that no URI has is percent-encoded and decoded again on reading, any other is written as it is; a null or empty url is
+replaced by a urn and reads back as null; an empty table gives an archive without files; further columns are not written.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,6 +37,10 @@ from .sharding import range_of, splitters
 REVISIT_BYTES = 1000
 #: Payload bytes of a shard, and compressed bytes at which a file is full.
 SHARD_BYTES, FILE_BYTES = 32_000_000, 8_000_000
+#: Most shards. Beyond so many times SHARD_BYTES shards grow: a task streams its shard, so its memory does not.
+MAX_SHARDS = 4096
+#: Characters of a URI.
+_URI = re.compile(r"[A-Za-z0-9%/:?#\[\]@!$&'()*+,;=\-._~]+")
 #: The date of all records: pages carry none.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -75,7 +81,8 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, n: int,
     """One record, uncompressed."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
     block = http + (payload or b"") if refers_to is None else http
-    uri = quote(url, safe="%/:?#[]@!$&'()*+,;=-._~") if url else f"urn:page:{page_id}"
+    plain = bool(url) and _URI.fullmatch(url) is not None
+    uri = url if plain else quote(url, safe="/:?#[]@!$&'()*+,;=-._~") if url else f"urn:page:{page_id}"
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
@@ -88,6 +95,8 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, n: int,
         f"Content-Length: {len(block)}",
         f"X-Payload-Length: {n}",
     ]
+    if not plain:
+        head.append(f"X-URL: {'encoded' if url else 'none'}")
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
@@ -134,7 +143,7 @@ def write_archives(pages: DataFrame, path: str, id: str = "page_id", url: str =
     size = F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(0) + 500
     keys = told.select(F.coalesce("page_id", lowest).alias("h"), F.xxhash64("digest").alias("doc_id"), size.cast("long").alias("size"))
     total = keys.agg(F.sum("size")).first()[0] or 0
-    n = max(1, -(-total // shard_bytes))
+    n = min(MAX_SHARDS, max(1, -(-total // shard_bytes)))
     cuts = splitters(keys, n, 0.05)
     # what a page refers to travels to its shard as a row of its own, before the page: payloads are exchanged once
     verdicts = told.where("refers_to IS NOT NULL").distinct().select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "payload_bytes", "digest", "refers_to")
@@ -232,7 +241,9 @@ def _row(fields: dict[str, str], block: bytes) -> tuple:
     if payload is not None and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(fields["x-payload-length"])):
         raise ValueError("payload and its digest differ")
     number = lambda k: int(fields[k]) if k in fields else None
-    return number("x-page-id"), unquote(fields["warc-target-uri"]), kind, number("x-refers-to-page-id"), int(fields["x-payload-length"]), digest, payload
+    uri, how = fields["warc-target-uri"], fields.get("x-url")
+    url = None if how == "none" else unquote(uri) if how == "encoded" else uri
+    return number("x-page-id"), url, kind, number("x-refers-to-page-id"), int(fields["x-payload-length"]), digest, payload
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:

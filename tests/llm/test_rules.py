@@ -57,8 +57,8 @@ def test_windows(spark):
                         hit |= set(range(p, p + len(win)))
                         found.add(k)
         want.append((i, len(w), len(hit), len(found), bool(hit) and 20 * len(hit) >= len(w)))
-    for limit in (decontaminate.BROADCAST_WINDOWS, 0):
-        got = decontaminate.verdicts(decontaminate.hits(d, b, broadcast_windows=limit)).select("doc_id", "n_words", "n_hit", "n_items", "contaminated").collect()
+    for limit in (decontaminate.BROADCAST_BYTES, 0):
+        got = decontaminate.verdicts(decontaminate.hits(d, b, broadcast_bytes=limit)).select("doc_id", "n_words", "n_hit", "n_items", "contaminated").collect()
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert decontaminate.hits(d.limit(0), b).count() == 0
     clean = decontaminate.verdicts(decontaminate.hits(d, b.limit(0))).agg(F.sum("n_hit"), F.count(F.lit(1))).first()
