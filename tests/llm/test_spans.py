@@ -1,6 +1,7 @@
 """Personal data and secrets against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -134,10 +135,13 @@ def test_redaction_takes_the_whole_token(spark):
 
 
 def test_learned_names_and_convergence(spark):
-    """Names behind titles and greetings join the gazetteer; the fit of few patterns ends early at the same weights."""
+    """Names behind titles and greetings join the gazetteer; the fit gives patterns their posteriors back."""
     rows = [f"Dear Zorblat Quux, hello. Mr. Zorblat Vex called. Visit Grand Hotel and Zorblat Inn {i}." for i in range(6)]
     df = spark.createDataFrame([(t,) for t in rows], "text string")
     one = pii.with_candidates(pii.with_base_spans(df)).select(F.explode("candidates").alias("s"))
     assert pii.learned_names(one) == ["Zorblat"]
-    data = [((1, 0), 0.9, 50.0), ((0, 1), 0.1, 50.0)]
-    assert all(abs(a - b) < 0.2 for a, b in zip(pii.fit(data), pii.fit(data, 3000)))
+    data = [((1, 0), 0.9, 50.0), ((0, 1), 0.1, 30.0), ((1, 1), 0.6, 20.0)]
+    w = pii.fit(data)
+    assert all(abs(a - b) < 1e-4 for a, b in zip(w, pii.fit(data, 3000)))
+    for x, y, _ in data:
+        assert abs(1 / (1 + math.exp(-w[2] - sum(a * b for a, b in zip(w, x)))) - y) < 0.1
