@@ -79,7 +79,7 @@ def prefix_tokens(docs: DataFrame, wins: DataFrame, ks: list[int], small: bool)
     if small:
         seen = seen.join(F.broadcast(wanted), "h", "left_semi")
     else:
-        seen = maybe_in(seen, F.col("h"), bits(wanted, F.col("h"))).join(wanted, "h", "left_semi")
+        seen = maybe_in(seen, F.col("h"), bits(wanted, F.col("h"))).join(wanted, "h")
     counts = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     rare = own.join(counts, "h")  # a window with a shingle that the corpus lacks cannot occur
     first = rare.groupBy("item_id", "words").agg(F.min(F.struct("n", "h", "offset")).alias("m"), F.count(F.lit(1)).alias("found"))
@@ -111,7 +111,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     else:
         near = maybe_in(rows.select("doc_id", "th", "pos", "h").where("h IS NOT NULL"), F.col("h"), bits(tokens, F.col("h")))
         # the windows of a token are joined where they are needed: a match carries its token only
-        hit = near.join(tokens.select("h"), "h", "left_semi").groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "h")).alias("c"))
+        hit = near.join(tokens.select("h"), "h").groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "h")).alias("c"))
         d = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), words_of(F.col("text")).alias("words"))
         same = d["doc_id"].eqNullSafe(hit["doc_id"]) & (d["th"] == hit["th"])
         got = d.join(hit, same).select(d["doc_id"], d["th"], "words", F.explode("c").alias("c"))

@@ -17,7 +17,8 @@ def bits(keys: DataFrame, key: Column) -> DataFrame:
 
 
 def maybe_in(rows: DataFrame, key: Column, bitmap: DataFrame) -> DataFrame:
-    """rows whose key may be among those of the bitmap; none that is gets lost."""
+    """rows whose key may be among those of the bitmap; none that is gets lost. What follows should be an inner join:
+    Catalyst would move a semi join below this one."""
     place = F.pmod(F.xxhash64(key), F.lit(BITS))
     marked = rows.withColumn("_place", place).withColumn("word", F.shiftright("_place", 6))
     hit = marked.join(F.broadcast(bitmap), "word").where(F.expr("shiftright(set, int(pmod(_place, 64L))) & 1L = 1L"))

@@ -28,9 +28,10 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .filters import bits, maybe_in
 from .graph import components
 from .shared import give_back, text_or_empty, written
 from .textvec import flat, mix, word_grams, word_hashes
@@ -43,8 +44,6 @@ TREES, DEPTH, WIDTH = 24, 8, 2
 BLOCK, BLOCK_SHINGLES, DENSE = 600, 1_500_000, 32
 #: Text bytes that a worker signs at a time, and shingles whose minima are taken together.
 SLICE_BYTES, RUN = 2_000_000, 100_000
-#: Bits of the bitmaps that spare rows an exchange: 262,144 words, about 8 MB where they are broadcast.
-BITS = 1 << 24
 
 _SIGNED = "doc_id long, tag long, v binary, n int, labels binary"
 
@@ -199,22 +198,6 @@ def _verify(threshold: Fraction):
     return run
 
 
-def bits(keys: DataFrame, key: Column) -> DataFrame:
-    """A bitmap of BITS bits in which the hashes of a key are set, as rows (word, set): at most BITS / 64, whatever the
-    keys number, so it may be broadcast."""
-    place = F.pmod(F.xxhash64(key), F.lit(BITS))
-    words = keys.select(F.shiftright(place, 6).alias("word"), F.pmod(place, F.lit(64)).cast("int").alias("bit"))
-    return words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("set"))
-
-
-def maybe_in(rows: DataFrame, key: Column, bitmap: DataFrame) -> DataFrame:
-    """rows whose key may be among those of the bitmap; none that is gets lost."""
-    place = F.pmod(F.xxhash64(key), F.lit(BITS))
-    marked = rows.withColumn("_place", place).withColumn("word", F.shiftright("_place", 6))
-    hit = marked.join(F.broadcast(bitmap), "word").where(F.expr("shiftright(set, int(pmod(_place, 64L))) & 1L = 1L"))
-    return hit.drop("word", "_place", "set")
-
-
 def trie_links(classes: DataFrame, floor: list[int]) -> DataFrame:
     """classes (v, labels) -> links (a, b) between classes under one prefix, in each tree from whole labels up to its
     floor: a member to the least member, which stands for the node further up."""
@@ -226,7 +209,7 @@ def trie_links(classes: DataFrame, floor: list[int]) -> DataFrame:
     several = filed.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("node")
     several = written(several, "nodes")
     some = maybe_in(filed, F.col("node"), bits(several, F.col("node")))
-    level = written(some.join(several, "node", "left_semi").select("t", "label", F.col("v").alias("a")), "trie")
+    level = written(some.join(several, "node").select("t", "label", F.col("v").alias("a")), "trie")
     links = []
     for d in range(DEPTH, min(floor) - 1, -1):
         here = level.where(F.get(stop, F.col("t").cast("int")) <= d).withColumn("p", F.substring("label", 1, d * WIDTH))
