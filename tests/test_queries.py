@@ -43,3 +43,18 @@ def test_kmeans_partitions_the_frames(spark, sf_dir):
     rows = QUERIES["g8_kmeans"](spark, sf_dir).collect()
     assert sum(r["size"] for r in rows) == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
     assert len({r["medoid"] for r in rows}) == len(rows) <= 8
+
+
+def test_kmeans_is_a_fixed_point_of_lloyd(spark, sf_dir):
+    """Every frame is nearest to the mean of its own cluster, but for ties of the last step."""
+    import numpy as np
+
+    from shotlake.operators import cluster
+    from shotlake.sources.tables import frames
+
+    rows = cluster.k_means(frames(spark, sf_dir), 8).collect()
+    e, label = np.array([r["embedding"] for r in rows]), np.array([r["cluster"] for r in rows])
+    centres = np.array([e[label == k].mean(axis=0) for k in sorted(set(label))])
+    d = ((e[:, None] - centres[None]) ** 2).sum(axis=2)
+    own = d[np.arange(len(e)), np.searchsorted(sorted(set(label)), label)]
+    assert (own <= d.min(axis=1) + 0.05).mean() >= 0.97
