@@ -128,10 +128,11 @@ def a2_extremes(spark, sf_dir):
 
 @query(f"WITH {O.F} SELECT a.job_id, a.frame_index, round(avg(1 - {O.cosine('a.embedding', 'b.embedding')}), 6) AS mean_distance FROM f AS a JOIN f AS b USING (job_id) GROUP BY 1, 2")
 def a4_mean_distance(spark, sf_dir):
-    """Mean distance to all frames of the job, itself included."""
-    f = frames(spark, sf_dir)
-    a, b = f.select("job_id", "frame_index", F.col("embedding").alias("x")), f.select("job_id", F.col("embedding").alias("y"))
-    return a.join(b, "job_id").groupBy("job_id", "frame_index").agg(r6(F.avg(1 - V.cosine(F.col("x"), F.col("y")))).alias("mean_distance"))
+    """Mean distance to all frames of the job, itself included: 1 less the product with the mean of the unit vectors, so
+    no pairs are made."""
+    unit = frames(spark, sf_dir).select("job_id", "frame_index", V.normalise(F.col("embedding")).alias("embedding"))
+    mean = cluster.centres(unit, "job_id")
+    return unit.join(mean, "job_id").select("job_id", "frame_index", r6(1 - V.dot(F.col("embedding"), F.col("centre"))).alias("mean_distance"))
 
 
 @query("SELECT user_id AS job_id, count(*) FILTER (event_type <> 'error') AS succeeded, count(*) AS n FROM events GROUP BY 1")
