@@ -27,7 +27,7 @@ def test_answers_are_whole(spark, sf_dir, name):
     label = lambda s: f"{s // 60:02d}:{s % 60:02d}"
     forms = {
         "g9_list": lambda own: "\n".join(f"[{label(s)}] {x}" for s, x in own),
-        "g9_synthesize": lambda own: own[0][1] if len(own) == 1 else " ".join(("Initially, " if i == 0 else "Finally, " if i == len(own) - 1 else "Then, ") + x for i, (_, x) in enumerate(own)),
+        "g9_synthesize": lambda own: own[0][1] if len(own) == 1 else " ".join(f"{'At the beginning (' if i == 0 else 'Finally (' if i == len(own) - 1 else 'At '}{label(s)}{')' if i in (0, len(own) - 1) else ''}: {x}" for i, (s, x) in enumerate(own)),
         "g9_concat": lambda own: " ".join(x for _, x in own),
         "g13_summary": lambda own: "\n".join(["Summarise these observations:", *(f"{i + 1}. [{label(s)}.000] {x}" for i, (s, x) in enumerate(own))]),
         "g13_comparison": lambda own: "\n".join(["Compare with regard to: mood", *(f"Item {i + 1}: {x}" for i, (_, x) in enumerate(own))]),
