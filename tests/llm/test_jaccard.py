@@ -98,3 +98,30 @@ def test_components(spark):
         root[max(top(a), top(b))] = min(top(a), top(b))
     want = {v: top(v) for v in root if top(v) != v}
     assert dict(map(tuple, components(spark.createDataFrame(edges, "a int, b int")).collect())) == want
+
+
+def test_recall_near_the_threshold():
+    """Pairs of sets at similarity 0.8 share a prefix at the trees' floors with about the target recall."""
+    floor = np.array(jaccard.floors(0.8, jaccard.TREES, jaccard.DEPTH, jaccard.RECALL))
+    assert floor.min() == 5 and floor.max() == 6 and jaccard.floors(0.8, 24, 8, 0.5) == [8] * 24
+    rng, sets = np.random.default_rng(5), []
+    for _ in range(2000):
+        u = rng.integers(0, 1 << 64, 250, dtype=np.uint64)
+        sets += [u[:225], np.concatenate((u[:200], u[225:]))]  # 200 of 250 elements are common
+    first = np.cumsum([0] + [len(s) for s in sets[:-1]])
+    labels = jaccard.minima(np.concatenate(sets), first, jaccard.TREES, jaccard.DEPTH).reshape(len(sets), jaccard.TREES, jaccard.DEPTH)
+    shared = np.cumprod(labels[::2] == labels[1::2], axis=2).sum(axis=2)
+    assert (shared >= floor).any(axis=1).sum() >= 1996
+
+
+def test_strata_lose_no_pair(spark):
+    """Sets at exactly 0.8 whose sizes differ most, in small blocks."""
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for i in range(25):
+        w = [word() for _ in range(44 + i)]
+        n = len(w) - 4  # shingles; the longer text has a quarter more
+        rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(w + [word() for _ in range(n // 4)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(jaccard.join(df, block=1)) == brute(rows)
