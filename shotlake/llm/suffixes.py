@@ -46,7 +46,7 @@ WINDOW, KEY, DIGIT = 50, 20, 8
 #: Different spans of one anchor in a task beyond which the anchor is hot.
 HOT = 256
 #: Text bytes that a task gathers before it sends, and of a bucket of documents; bytes hashed at a time.
-FLUSH, BUCKET_BYTES, PIECE = 24_000_000, 8_000_000, 2_000_000
+FLUSH, BUCKET_BYTES, PIECE = 18_000_000, 8_000_000, 2_000_000
 #: Stands for a null id.
 NULL_ID = -(2**63)
 
