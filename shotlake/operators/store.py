@@ -9,6 +9,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Schemas and defaults of the tables (fixed values: names of columns and their defaults).
 JOBS = "job_id long, status string, video_path string, filename string, progress double, error string, retry_count int, created_at timestamp_ntz, updated_at timestamp_ntz"
@@ -19,7 +20,7 @@ DEFAULTS = {"status": "pending", "progress": 0.0, "retry_count": 0, "start_ms":
 WEEK = 7 * 86400
 
 
-def create(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def create(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """The table at path, made empty if there is none yet."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
@@ -27,7 +28,7 @@ def create(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read(spark, path, schema)
 
 
-def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 

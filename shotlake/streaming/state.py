@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from shotlake.operators import store
+from shotlake.session import shared_folder
+
 #: Milliseconds behind the watermark after which the state of a silent job is removed: a week.
 IDLE_MS = 7 * 86_400_000
 
@@ -83,8 +86,10 @@ def stream_limit(requests: DataFrame, limit: int, window_us: int) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
-    """All that a stream gives for the input there is now, as a table in memory: for tests and small inputs."""
+    """All that a stream gives for the input there is now, as a Parquet table in the shared folder, where its state stands
+    too; no row passes the driver."""
     spark: SparkSession = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    path = f"{shared_folder(spark)}/{name}"
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start(path)
     query.awaitTermination()
-    return spark.table(name)
+    return store.create(spark, path, stream.schema)

@@ -127,6 +127,18 @@ def test_late_stamps_count_what_stood_before_them(spark):
     assert (got[300], got[900]) in {(3, 1), (1, 2)}
 
 
+def test_drained_streams_lie_in_the_shared_folder(spark):
+    path = fresh(spark, "requests")
+    spark.range(40).select((F.col("id") % 4).alias("identifier"), (F.col("id") + 1).alias("us")).write.parquet(path)
+    drain = lambda p: state.drained(state.stream_limit(spark.readStream.schema("identifier long, us long").parquet(p), 3, 100), f"drained_{np.random.randint(1 << 30)}")
+    got = drain(path)
+    assert got.inputFiles() and all(shared_folder(spark).removeprefix("file://") in f for f in got.inputFiles())
+    assert sorted((r.identifier, r.us, r.n) for r in got.collect()) == [(k, k + 4 * i + 1, i + 1) for k in range(4) for i in range(10)]
+    none = fresh(spark, "none")
+    spark.range(0).select(F.col("id").alias("identifier"), F.col("id").alias("us")).write.parquet(none)
+    assert drain(none).count() == 0
+
+
 def test_micros_do_not_depend_on_the_zone(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ '2024-03-31 02:30:00.123456' AS ts")
     want = 1711852200123456
