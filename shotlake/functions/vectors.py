@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,8 +37,13 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / ((norm(a) + EPS) * (norm(b) + EPS))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row and not for each element that body visits."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalise(v: Column, eps: float = EPS) -> Column:
-    return F.transform(v, lambda x: x / (norm(v) + eps))
+    return once(v, lambda u: once(norm(u) + eps, lambda n: F.transform(u, lambda x: x / n)))
 
 
 def chi_squared(a: Column, b: Column) -> Column:
@@ -49,14 +56,9 @@ def bin_of(value: Column, bins: int = BINS) -> Column:
     return F.floor(value * bins / LEVELS).cast("int")
 
 
-def histogram(values: Column, bins: int = BINS) -> Column:
-    """Counts of an array of channel values in equal bins over [0, 256)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.size(F.filter(values, lambda x: bin_of(x, bins) == k)).cast("double"))
-
-
 def l1(v: Column) -> Column:
     """v divided by its sum plus EPS."""
-    return F.transform(v, lambda x: x / (total(v) + EPS))
+    return once(v, lambda u: once(total(u) + EPS, lambda n: F.transform(u, lambda x: x / n)))
 
 
 def min_max(x: Column, low: Column, high: Column) -> Column:

@@ -257,9 +257,7 @@ SELECT job_id, CAST(channel * 64 + b AS BIGINT) AS bin, round(n / (total + 1e-7)
 def v5_three_channels(spark, sf_dir):
     """Histograms of three channels, 64 bins each over 0 to 255, one after another and divided by their sum."""
     e = requests(spark, sf_dir).select(F.col("identifier").alias("job_id"), (F.col("event_id") % 3).alias("channel"), (F.floor("value") % 256).cast("int").alias("v"))
-    pixels = e.groupBy("job_id").agg(*[F.collect_list(F.when(F.col("channel") == k, F.col("v"))).alias(f"c{k}") for k in range(3)])
-    h = pixels.select("job_id", V.l1(F.concat(*[V.histogram(F.col(f"c{k}")) for k in range(3)])).alias("h"))
-    return h.select("job_id", F.posexplode("h").alias("bin", "share")).where("share > 0").select("job_id", F.col("bin").cast("long").alias("bin"), r6("share").alias("share"))
+    return shots.channel_shares(e).select("job_id", "bin", r6("share").alias("share"))
 
 
 @query("SELECT p_partkey, CAST(trunc(p_size::DOUBLE / (p_partkey % 30 + 1)::DOUBLE * 1000) AS BIGINT) AS clip_ms, greatest(1, CAST(trunc(p_size::DOUBLE * (1 - (p_partkey % 4)::DOUBLE / 4)) AS BIGINT)) AS stride FROM part")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shotlake.functions import media, vectors
-from shotlake.operators import jobs, plugins, search, selection, store, streams
+from shotlake.operators import jobs, plugins, search, selection, shots, store, streams
 from shotlake.session import shared_folder
 from shotlake.sources.tables import micros
 from shotlake.streaming import hooks, state
@@ -139,6 +139,17 @@ def test_drained_streams_lie_in_the_shared_folder(spark):
     assert drain(none).count() == 0
 
 
+def test_channel_bins_are_counted_without_arrays(spark, sf_dir):
+    from shotlake.plans.further import v5_three_channels
+
+    plan = v5_three_channels(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan
+    values = spark.range(300_000).select(F.lit(1).alias("job_id"), (F.col("id") % 3).alias("channel"), (F.col("id") % 256).cast("int").alias("v"))
+    got = {r.bin: r.share for r in shots.channel_shares(values).collect()}
+    want = np.bincount([i % 3 * 64 + i % 256 // 4 for i in range(300_000)], minlength=192) / 300_000
+    assert sorted(got) == list(range(192)) and np.allclose([got[k] for k in range(192)], want, atol=1e-9)
+
+
 def test_micros_do_not_depend_on_the_zone(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ '2024-03-31 02:30:00.123456' AS ts")
     want = 1711852200123456
