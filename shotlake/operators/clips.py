@@ -24,8 +24,9 @@ def seek(frames: DataFrame, times: DataFrame, fps: float) -> DataFrame:
     return frames.join(asked, ["job_id", "n"])
 
 
-def clips(frames: DataFrame, window: int = 16, stride: int = 8, mode: str = "seek", max_clips: int = 500) -> DataFrame:
-    """Sliding clips of each job's frames by position: job_id, clip_index, start, length, end_frame.
+def clips(frames: DataFrame, window: int = 16, stride: int = 8, mode: str = "seek", max_clips: int | None = None) -> DataFrame:
+    """Sliding clips of each job's frames by position: job_id, clip_index, start, length, end_frame; all of them, or the
+    first max_clips of a job.
 
     seek: a clip with fewer than window // 2 real frames is dropped and end_frame is exclusive, perhaps beyond the end;
     batch: none is dropped and end_frame is the last index, inclusive. length counts real frames."""
@@ -36,8 +37,11 @@ def clips(frames: DataFrame, window: int = 16, stride: int = 8, mode: str = "see
         out = out.where(F.col("length") >= window // 2).withColumn("end_frame", F.col("start") + window)
     else:
         out = out.withColumn("end_frame", F.least(F.col("start") + window - 1, F.col("total") - 1))
-    out = out.withColumn("clip_index", (F.row_number().over(Window.partitionBy("job_id").orderBy("start")) - 1).cast("long"))
-    return out.where(F.col("clip_index") < max_clips).select("job_id", "clip_index", "start", F.col("length").cast("long").alias("length"), F.col("end_frame").cast("long").alias("end_frame"))
+    # only a job's last clips are dropped, so places follow from starts
+    out = out.withColumn("clip_index", F.floor(F.col("start") / stride).cast("long"))
+    if max_clips is not None:
+        out = out.where(F.col("clip_index") < max_clips)
+    return out.select("job_id", "clip_index", "start", F.col("length").cast("long").alias("length"), F.col("end_frame").cast("long").alias("end_frame"))
 
 
 def clip_vectors(frames: DataFrame, window: int = 16, stride: int = 8, mode: str = "seek") -> DataFrame:

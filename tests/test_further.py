@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shotlake.functions import media, vectors
-from shotlake.operators import jobs, plugins, search, selection, shots, store, streams
+from shotlake.operators import clips, jobs, plugins, search, selection, shots, store, streams
 from shotlake.session import shared_folder
 from shotlake.sources.tables import micros
 from shotlake.streaming import hooks, state
@@ -139,6 +139,17 @@ def test_drained_streams_lie_in_the_shared_folder(spark):
     assert drain(none).count() == 0
 
 
+def test_long_jobs_keep_all_clips(spark):
+    n = 4101
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("job_id"), (3 * F.col("id")).alias("frame_index"), (F.col("id") * 1500).alias("timestamp_ms"), F.array(F.col("id") + 1.0, F.lit(1.0)).alias("embedding"))
+    got = clips.clips(rows).orderBy("clip_index").collect()
+    assert [(r.clip_index, r.start, r.length) for r in got] == [(i, s, min(16, n - s)) for i, s in enumerate(range(0, n, 8)) if n - s >= 8]
+    assert clips.clips(rows, mode="batch").count() == len(range(0, n, 8))
+    assert [r.clip_index for r in clips.clips(rows, max_clips=500).orderBy("clip_index").collect()] == list(range(500))
+    vectors_ = clips.clip_vectors(rows)
+    assert vectors_.count() == len(got) and vectors_.agg(F.max("end_ms")).first()[0] == (n - 1) * 1500
+
+
 def test_channel_bins_are_counted_without_arrays(spark, sf_dir):
     from shotlake.plans.further import v5_three_channels
 
