@@ -1,13 +1,13 @@
 """Personal data (native): fixed patterns, and weak supervision for what they miss.
 
 Candidates beyond the fixed patterns are runs of digits and separators, and pairs of capitalised words. Labelers (shape
-patterns, a gazetteer of given names, words of the context) vote on each: for, against, or not at all. The votes of all
-candidates of a sample of about SAMPLE_DOCS documents are counted by pattern; expectation-maximisation over these counts
-estimates how reliable each labeler is, and a posterior for each pattern. A logistic span classifier is then trained on
+patterns, a gazetteer of given names, words of the context) vote on each: for, against, or not at all. The votes on the
+candidates of all documents are counted by pattern; expectation-maximisation over these counts estimates how reliable each
+labeler is, and a posterior for each pattern. A logistic span classifier is then trained on
 the candidates' features, among them some that no labeler looks at, with the posteriors as soft labels, also from counts.
 Candidates of all documents that it accepts become spans; fixed spans always stay. The gazetteer is GIVEN_NAMES and at most
-LEARNED_NAMES more: first words of pairs that stand behind titles and greetings in the sample. The counts have at most
-3^labelers x 2^features rows whatever the corpus; only they and the learned names reach the driver.
+LEARNED_NAMES more: first words of pairs that stand behind titles and greetings, the most frequent first. The counts have
+at most 3^labelers x 2^features rows whatever the corpus; only they and the learned names reach the driver.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are scanned one by one (and count twice); an
 empty table gives an empty result; further columns may have any name.
@@ -45,9 +45,9 @@ GIVEN_NAMES = (
 ).split()
 #: Least probability of an added span, most rounds of the two fits, and the ridge of the second.
 ACCEPT, EM_ROUNDS, FIT_ROUNDS, RIDGE = 0.9, 60, 50, 1e-3
-#: Documents of the sample that both fits are made on, about; most names that are learned from it; how often a name must
-#: stand behind a title or greeting, and in what share of all its places as the first of two capitalised words.
-SAMPLE_DOCS, LEARNED_NAMES, NAME_SEEN, NAME_SHARE = 20_000, 1000, 3, 0.2
+#: Most names that are learned; how often a name must stand behind a title or greeting, and in what share of all its
+#: places as the first of two capitalised words.
+LEARNED_NAMES, NAME_SEEN, NAME_SHARE = 1000, 3, 0.2
 
 _FOR_CONTEXT = r"(?i)(?:phone|tel|telephone|mobile|call|fax|contact|ssn|id number|name|signed|dear|teléfono|téléphone|telefon|handy)[^\n]{0,8}$"
 _OTHER_CONTEXT = r"(?i)(?:version|isbn|page|no\.|figure|table|order|price|total|year|section|chapter|seite|seit)[^\n]{0,8}$"
@@ -237,12 +237,10 @@ def accepted(s: Column, weights: Sequence[float], names: Sequence[str] = GIVEN_N
     return 1 / (1 + F.exp(-z)) >= ACCEPT
 
 
-def scan(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs as ``row``, its ``text``, the fixed spans by kind, ``base``, and ``found``: fixed spans by kind and start,
-    then the added ones likewise. The classifier is fitted on a random sample of about sample_docs documents."""
-    n = docs.count()
-    some = docs.sample(fraction=min(1.0, sample_docs / max(1, n)), seed=11) if n > sample_docs else docs
-    weights, names = train(with_candidates(with_base_spans(some.select(text_or_empty(text).alias("text")))))
+    then the added ones likewise. The classifier is fitted on the candidates of all documents, so they are scanned twice."""
+    weights, names = train(with_candidates(with_base_spans(docs.select(text_or_empty(text).alias("text")))))
     df = docs.select(F.struct("*").alias("row"), text_or_empty(text).alias("text"))
     df = with_candidates(with_base_spans(df))
     more = F.filter("candidates", lambda s: ~s["known"] & accepted(s, weights, names))

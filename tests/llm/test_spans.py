@@ -145,3 +145,15 @@ def test_learned_names_and_convergence(spark):
     assert all(abs(a - b) < 1e-4 for a, b in zip(w, pii.fit(data, 3000)))
     for x, y, _ in data:
         assert abs(1 / (1 + math.exp(-w[2] - sum(a * b for a, b in zip(w, x)))) - y) < 0.1
+
+
+def test_the_fit_sees_all_documents(spark, monkeypatch):
+    """Names that stand behind a title three times among 30,000 documents are learned, each of them."""
+    name = lambda i: "Q" + "".join(chr(97 + int(c)) for c in f"{i:04d}")
+    text = F.when(F.col("id") % 1000 == 7, F.concat(F.lit("Mr. Q"), F.translate(F.lpad((F.col("id") / 3000).cast("int").cast("string"), 4, "0"), "0123456789", "abcdefghij"), F.lit(" Vex called.")))
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.coalesce(text, F.lit("nothing here")).alias("text"))
+    seen, train = [], pii.train
+    monkeypatch.setattr(pii, "train", lambda rows: seen.append((rows.count(), train(rows))) or seen[-1][1])
+    found = pii.scan(df)
+    assert seen[0][0] == 30_000 and set(seen[0][1][1]) - set(pii.GIVEN_NAMES) == {name(i) for i in range(10)}
+    assert found.where(F.size("found") > 0).count() in (0, 30)
